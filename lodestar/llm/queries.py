@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import op01_line_quality, op04_token_counts, op05_byte_bpe, op07_curve_packing
+from lodestar.llm import op01_line_quality, op04_token_counts, op05_byte_bpe, op06_pii, op07_curve_packing, op09_gear_chunks, op10_setsketch
 from lodestar.llm.common import scratch, table
 
 
@@ -31,10 +31,25 @@ def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_curve_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_pii.find(table(spark, sf_dir, "documents"))
+
+
+def op9_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_gear_chunks.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=4, threshold=0.8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_pii": op6_pii,
     "op7_curve_packing": op7_curve_packing,
+    "op9_gear_chunks": op9_gear_chunks,
+    "op10_setsketch": op10_setsketch,
 }
 SQL: dict[str, str] = {"op1_line_quality": op01_line_quality.SQL}
