@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import op01_line_quality, op04_token_counts, op05_byte_bpe, op06_pii, op07_curve_packing, op09_gear_chunks, op10_setsketch
+from lodestar.llm import op01_line_quality, op02_nn_descent, op03_brown_classes, op04_token_counts, op05_byte_bpe, op06_pii, op07_curve_packing, op09_gear_chunks, op10_setsketch
 from lodestar.llm.common import scratch, table
 
 
@@ -16,6 +16,14 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "removed_lines")
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_brown_classes.score(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = op04_token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), scratch(spark, "token-cache"))
@@ -45,6 +53,8 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
+    "op2_nn_descent": op2_nn_descent,
+    "op3_brown_classes": op3_brown_classes,
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_pii": op6_pii,
@@ -52,4 +62,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_gear_chunks": op9_gear_chunks,
     "op10_setsketch": op10_setsketch,
 }
-SQL: dict[str, str] = {"op1_line_quality": op01_line_quality.SQL}
+SQL: dict[str, str] = {"op1_line_quality": op01_line_quality.SQL, "op2_nn_descent": op02_nn_descent.SQL}
