@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import op01_line_quality, op02_nn_descent, op03_brown_classes, op04_token_counts, op05_byte_bpe, op06_pii, op07_curve_packing, op09_gear_chunks, op10_setsketch
+from lodestar.llm import op01_line_quality, op02_nn_descent, op03_brown_classes, op04_token_counts, op05_byte_bpe, op06_pii, op07_curve_packing, op08_cotraining, op09_gear_chunks, op10_setsketch
 from lodestar.llm.common import scratch, table
 
 
@@ -43,6 +43,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_pii.find(table(spark, sf_dir, "documents"))
 
 
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_cotraining.co_train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_gear_chunks.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_pii": op6_pii,
     "op7_curve_packing": op7_curve_packing,
+    "op8_cotraining": op8_cotraining,
     "op9_gear_chunks": op9_gear_chunks,
     "op10_setsketch": op10_setsketch,
 }
