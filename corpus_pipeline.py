@@ -1,7 +1,71 @@
-"""A corpus cleaned and packed in five stages."""
-STAGES = []
+"""A corpus cleaned and packed in five stages, each a call of one training-data operator.
+
+Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept; all but the last return the
+columns of docs, whatever further columns there are.  Between stages the rows are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm import op01_line_quality, op06_pii, op07_curve_packing, op09_gear_chunks, op10_setsketch
+from lodestar.llm.common import materialise
+
+
+def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """n_chars follows the text that a stage has changed."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.select(*columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; boilerplate lines leave the others."""
+    judged = op01_line_quality.line_quality(docs.select(*docs.columns)).where("kept")
+    return _recounted(judged.withColumn("text", F.col("clean_text")), docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of copies and near copies (five-word shingles, 0.8) the smallest doc_id stays, once."""
+    verdict = materialise(op10_setsketch.near_duplicates(docs, width=5, threshold=0.8).where("doc_id is not null"), "verdict")
+    out = docs.join(verdict.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    twice = verdict.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not twice.isEmpty():  # rows that repeat a doc_id
+        once = out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(twice, "doc_id", "left_anti").unionByName(once)
+    return out.select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages leave all texts but the first."""
+    return _recounted(op09_gear_chunks.without_spans(docs, op09_gear_chunks.repeated_spans(docs)), docs.columns)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _recounted(op06_pii.redact(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op07_curve_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("personal data", hide_personal_data),
+    ("packing", pack),
+]
+#: Sketches, chunk hashes, trained models and tokenizers are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, name.replace(" ", "-"))
+    return docs
