@@ -30,10 +30,10 @@ def flagship(t: Tables) -> DataFrame:
 
 
 # Scans, projection, predicates
-@query("scan_project_filter", "SELECT l_orderkey, l_partkey, l_quantity, round(l_extendedprice * (1 - l_discount), 2) AS net FROM lineitem WHERE l_shipdate < DATE '1996-06-01' AND l_quantity >= 30")
+@query("scan_project_filter", "SELECT l_orderkey, l_partkey, l_quantity, round(l_extendedprice * (1 - l_discount), 6) AS net FROM lineitem WHERE l_shipdate < DATE '1996-06-01' AND l_quantity >= 30")
 def scan(t: Tables) -> DataFrame:
     rows = t.lineitem.where((F.col("l_shipdate") < F.lit("1996-06-01").cast("date")) & (F.col("l_quantity") >= 30))
-    return rows.select("l_orderkey", "l_partkey", "l_quantity", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("net"))
+    return rows.select("l_orderkey", "l_partkey", "l_quantity", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 6).alias("net"))
 
 
 @query("scan_point_lookup", "SELECT * FROM orders WHERE o_orderkey = 77")
@@ -225,9 +225,9 @@ same("correlated_scalar", "SELECT c_custkey, (SELECT max(o_orderkey) FROM orders
 same("subquery_in_having", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > (SELECT count(*) / 25.0 FROM customer)", "customer")
 
 
-@query("any_subquery", "SELECT p_partkey FROM part WHERE p_retailprice > ANY (SELECT p_retailprice + 400 FROM part WHERE p_size < 20)")
+@query("any_subquery", "SELECT p_partkey FROM part WHERE p_retailprice > ANY (SELECT p_retailprice + 90 FROM part WHERE p_size < 20)")
 def any_subquery(t: Tables) -> DataFrame:
-    return joins.quantified(t.part, F.col("p_retailprice"), ">", "ANY", t.part.where("p_size < 20").select(F.col("p_retailprice") + 400)).select("p_partkey")
+    return joins.quantified(t.part, F.col("p_retailprice"), ">", "ANY", t.part.where("p_size < 20").select(F.col("p_retailprice") + 90)).select("p_partkey")
 
 
 @query("all_subquery", "SELECT s_suppkey FROM supplier WHERE s_acctbal >= ALL (SELECT c_acctbal FROM customer WHERE c_nationkey = 9 AND c_acctbal < 5000)")
@@ -361,7 +361,7 @@ def cte_distinct(t: Tables) -> DataFrame:
 # Windows
 _W = {
     "win_row_number": "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
-    "win_rank_dense": "rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) * 1000000 + dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority)",
+    "win_rank_dense": "CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT) * 10 + dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority)",
     "win_ntile": "ntile(7) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)",
     "win_count": "count(*) OVER (PARTITION BY o_custkey, o_orderstatus)",
 }
