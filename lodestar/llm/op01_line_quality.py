@@ -14,6 +14,8 @@ partial aggregation; the joins on hot lines are plain shuffled joins, which adap
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,35 +37,36 @@ def normalised(line: Column) -> Column:
     return F.regexp_replace(F.lower(F.array_join(words(line), " ")), "[0-9]+", "0")
 
 
-def repeated_words(df: DataFrame, array: str, out: str, window: int = WINDOW) -> DataFrame:
-    """Adds `out`: how many words of `array` lie in windows that stand in it twice or more."""
-    n = F.size(array)
-    hashes, windows, low = f"{out}__h", f"{out}__w", f"{out}__b"
-    df = df.withColumn(hashes, F.transform(array, lambda x: F.xxhash64(x)))
-    df = df.withColumn(
-        windows,
-        F.when(n < window, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - (window - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, window)))),
-    )
-    # Hash above, place below: after sorting, equal windows are neighbours.
-    df = df.withColumn(low, F.length(F.bin(n.cast("long"))).cast("int"))
-    ordered = F.sort_array(F.transform(windows, lambda h, i: _packed(h, i, low)))
-    df = df.withColumn(f"{out}__s", F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.array().cast("array<bigint>")).otherwise(ordered))
-    s = F.col(f"{out}__s")
-    high = lambda x: F.call_function("shiftright", x, F.col(low))
-    at = lambda k: F.get(s, k)
-    twice = F.filter(s, lambda x, k: F.coalesce(high(x) == high(at(k - 1)), F.lit(False)) | F.coalesce(high(x) == high(at(k + 1)), F.lit(False)))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(low)) - F.lit(1)
-    places = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask)))
-    df = df.withColumn(f"{out}__p", places)
-    p = F.col(f"{out}__p")
-    covered = F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda a, b: F.least(F.lit(window).cast("long"), b - a))
-    df = df.withColumn(out, F.aggregate(covered, F.lit(0).cast("long"), lambda acc, x: acc + x))
-    return df.drop(hashes, windows, low, f"{out}__s", f"{out}__p")
-
-
-def _packed(h: Column, i: Column, low: str) -> Column:
-    b = F.col(low)
-    return F.call_function("shiftleft", F.call_function("shiftright", h, b), b).bitwiseOR(i.cast("long"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once.  A column that a lambda uses may be copied into it by the optimizer, and
+    then costs its whole computation for each element; a lambda's own variable may not."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def repeated_words(array: Column, window: int = WINDOW) -> Column:
+    """How many words of the array lie in windows that stand in it twice or more."""
+    zero = F.lit(0).cast("long")
+
+    def counted(windows: Column) -> Column:
+        # Hash above, place below: after sorting, equal windows are neighbours.
+        bits = F.length(F.bin(F.size(windows).cast("long"))).cast("int")
+        high = lambda x, b: F.call_function("shiftright", x, b)
+        low = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
+        packed = let(bits, lambda b: F.transform(windows, lambda h, i: F.call_function("shiftleft", high(h, b), b).bitwiseOR(i.cast("long"))))
+
+        def places(s: Column) -> Column:
+            alike = lambda x, k, b: F.coalesce(high(x, b) == high(F.get(s, k - 1), b), F.lit(False)) | F.coalesce(high(x, b) == high(F.get(s, k + 1), b), F.lit(False))
+            return let(bits, lambda b: F.sort_array(F.transform(F.filter(s, lambda x, k: alike(x, k, b)), lambda x: x.bitwiseAND(low(b) - F.lit(1)))))
+
+        covered = lambda p: F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda x, y: F.least(F.lit(window).cast("long"), y - x))
+        total = let(let(F.sort_array(packed), places), lambda p: F.aggregate(covered(p), zero, lambda acc, x: acc + x))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), zero).otherwise(total)
+
+    def hashed(words_: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(words_) - (window - 1))
+        return let(F.transform(words_, lambda x: F.xxhash64(x)), lambda h: F.transform(at, lambda i: F.xxhash64(F.slice(h, i, window))))
+
+    return let(array, lambda w: F.when(F.size(w) <= window, zero).otherwise(let(hashed(w), counted)))
 
 
 def line_quality(docs: DataFrame, max_line_words: int = MAX_LINE_WORDS, min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED, min_words: int = MIN_WORDS, repeat_share: float = REPEAT_SHARE) -> DataFrame:
@@ -87,7 +90,7 @@ def line_quality(docs: DataFrame, max_line_words: int = MAX_LINE_WORDS, min_docs
     each = each.withColumn("n_symbols", F.regexp_count("lq_text", F.lit(r"[#*$%&|<>]")).cast("long"))
     each = each.withColumn("n_dup_lines", (F.size("lq_lines") - F.size(F.array_distinct("lq_lines"))).cast("long"))
     each = each.withColumn("lq_each", F.transform(short(F.col("lq_lines")), lambda x: F.struct(key(x).alias("k"), F.size(words(x)).alias("n"))))
-    each = repeated_words(each, "lq_words", "n_repeat_words").drop("lq_words", "lq_lines")
+    each = each.withColumn("n_repeat_words", repeated_words(F.col("lq_words"))).drop("lq_words", "lq_lines")
 
     out = each.join(removed, ["lq_c1", "lq_c2"], "left")
     gone = F.filter("lq_each", lambda x: F.array_contains("lq_removed", x["k"]))
