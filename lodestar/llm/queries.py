@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import op01_line_quality, op02_nn_descent, op03_brown_classes, op04_token_counts, op05_byte_bpe, op06_pii, op07_curve_packing, op08_cotraining, op09_gear_chunks, op10_setsketch
+from lodestar.llm import op01_line_quality, op02_nn_descent, op03_brown_classes, op04_token_counts, op05_byte_bpe, op06_pii, op07_curve_packing, op08_cotraining, op09_gear_chunks
+from lodestar.llm import op10_setsketch as setsketch
 from lodestar.llm.common import scratch, table
 
 
@@ -52,7 +53,7 @@ def op9_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10_setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=4, threshold=0.8)
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=4, threshold=0.8)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
