@@ -3,8 +3,9 @@
 Counts cover every training text.  The most frequent words (at most `TOP`, above a count found from a histogram) are
 items of their own; every rarer word belongs to the item of its ending (`GROUPS` of them), so that each word of the
 corpus has a class.  Exchange clustering: one pass over the corpus gives, for each item, the counts of the classes
-before and after it; items then move to the class that raises the class-bigram likelihood most, half of them in each
-round (a batch exchange, so that the passes can be distributed).  Tables on the driver are bounded by TOP + GROUPS
+before and after it; items then move, one small batch
+after another, to the class that raises the class-bigram likelihood most, half of them in each round (so that a round is one
+distributed pass).  Tables on the driver are bounded by TOP + GROUPS
 items times CLASSES, whatever the corpus; counts of rarer words stay distributed and meet their tokens in a shuffled join.
 
 P(w | before) = WEIGHT * P(class(w) | class(before)) * count(w) / count(class(w)) + (1 - WEIGHT) * (count(w) + 1) / (N + V + 1),
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import materialise, pieces, python_ready, text_of
 
-TOP, GROUPS, CLASSES, ROUNDS, LEAST, WEIGHT, SMOOTH = 1 << 15, 1 << 10, 32, 4, 3, 0.8, 1.0
+TOP, GROUPS, CLASSES, ROUNDS, LEAST, WEIGHT, SMOOTH = 1 << 15, 1 << 10, 32, 6, 3, 0.8, 1.0
 END = np.int64(-1)  # stands for the end; words get non-negative hashes
 
 
@@ -170,7 +171,7 @@ def exchange(table: np.ndarray, classes: np.ndarray, turn: int, width: int) -> n
     left, right = bigram.sum(axis=1), bigram.sum(axis=0)
     new = classes.copy()
     movable = np.flatnonzero((np.arange(len(classes)) % 2 == turn % 2) & (table.sum(axis=1) > 0))
-    for chunk in np.array_split(movable[movable > 0], max(1, len(movable) // 256)):
+    for chunk in np.array_split(movable[movable > 0], max(1, len(movable) // 256, min(len(movable), 32))):
         if not len(chunk):
             continue
         s, p, own = after[chunk], before[chunk], classes[chunk]
@@ -182,7 +183,13 @@ def exchange(table: np.ndarray, classes: np.ndarray, turn: int, width: int) -> n
             row, column, l_, r_ = (np.maximum(x, 0) for x in (row, column, l_, r_))
             score[:, k] = (_gain(row + s) - _gain(row)).sum(axis=1) + (_gain(column + p) - _gain(column)).sum(axis=1) - _gain(l_ + s.sum(axis=1)) + _gain(l_) - _gain(r_ + p.sum(axis=1)) + _gain(r_)
         score[:, 0] = -np.inf
-        new[chunk] = score.argmax(axis=1)
+        new[chunk] = to = score.argmax(axis=1)
+        np.add.at(bigram, own, -s)
+        np.add.at(bigram, to, s)
+        np.add.at(bigram.T, own, -p)
+        np.add.at(bigram.T, to, p)
+        np.maximum(bigram, 0, out=bigram)
+        left, right = bigram.sum(axis=1), bigram.sum(axis=0)
     return new
 
 
@@ -197,7 +204,9 @@ def score(docs: DataFrame, top: int = TOP, groups: int = GROUPS, width: int = CL
     texts = materialise(annotate(source, known, groups), "items")
 
     size = 1 + len(known) + groups
-    classes = 1 + np.arange(size) % (width - 1)
+    classes = np.full(size, width - 1)  # the most frequent words start with a class each, so that contexts differ
+    order = np.argsort(-known_n, kind="stable")[: width - 2]
+    classes[1 + order] = 1 + np.arange(len(order))
     classes[0] = 0
     for turn in range(rounds):
         classes = exchange(contexts(texts, classes, width), classes, turn, width)
