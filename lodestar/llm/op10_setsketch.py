@@ -8,8 +8,11 @@
 3. Each bucket's members are compared to its smallest one by the joint likelihood of both sketches; each member's
    best such pair is verified on the full sets, and verified links are joined into components.  So a large group of
    near copies collapses without its pairs.
-4. Buckets that still hold several components: every pair of members from different components is estimated in
-   blocks, and each pair that may reach the threshold is verified.  Links inside a component are not needed.
+4. Buckets that still hold several components: pairs of members from different components are estimated in blocks
+   from longer sketches (WIDE registers, for nodes that share a bucket), a pair in the first bucket it shares only.
+   Each round verifies each member's likeliest partners, few at first, joins components, and drops what has become
+   linked; the last round verifies every pair left that may reach the threshold.  So only pairs that do not
+   link have to be tested one by one.
 
 Sets travel only for pairs to verify, a hot leader's over up to `SALTS` salted copies.
 Null text and text without words: an empty set, linked with nothing.  Repeated rows repeat their results.
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -32,8 +36,10 @@ from lodestar.llm.graph import components
 
 BASE, TOP, RATE = 1.001, (1 << 16) - 2, 20.0
 BANDS, ROWS, SALTS, BLOCK = 32, 4, 256, 1024
-#: A pair is verified if its estimate is no further below the threshold; about 5 standard errors of 128 registers.
-SLACK = 0.18
+#: A pair is verified if its estimate is no further below the threshold; about 5 standard errors of either sketch.
+SLACK, WIDE, WIDE_SLACK = 0.18, 512, 0.085
+#: Partners of a member that a round verifies in each bucket; None: all.
+PARTNERS = (1, 8, None)
 BROADCAST_ROWS = 500_000
 _U = np.uint64
 
@@ -154,30 +160,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return _attach(pairs, sets, ["items"]).mapInArrow(run, "a bigint, b bigint")
 
 
-def _crossing(mixed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components inside the buckets of `mixed` (bucket, node, label, n, sketch) that may link.
-    Buckets are cut into blocks; a task holds two blocks at most."""
-    import pandas as pd
-
+def _crossing(mixed: DataFrame, threshold: float, partners: int | None) -> DataFrame:
+    """Likely pairs of different components inside the buckets of `mixed` (bucket, band, node, label, n, wide): of each
+    member the `partners` likeliest.  Buckets are cut into blocks; a task holds two blocks at most."""
     sizes = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     split = mixed.join(sizes, "bucket").withColumn("part", F.pmod(F.hash("node"), F.col("parts").cast("int")).cast("long"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     split = split.withColumn("other", other).withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other"))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
-        matrix, n, label, part, node = _matrix(pa.array(rows["sketch"])), rows["n"].to_numpy(), rows["label"].to_numpy(), rows["part"].to_numpy(), rows["node"].to_numpy()
+        matrix, n, label, part, node = _matrix(pa.array(rows["wide"])), rows["n"].to_numpy(), rows["label"].to_numpy(), rows["part"].to_numpy(), rows["node"].to_numpy()
+        short, band = matrix[:, : BANDS * ROWS], int(rows["band"].iloc[0])
         found = []
-        for i in range(len(rows) - 1):
-            k = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        for i in range(len(rows)):
+            k = np.flatnonzero(label != label[i])
             if key[1] != key[2]:
                 k = k[part[k] != part[i]]
+            if partners is None:
+                k = k[k > i]
+            if len(k) and band:  # pairs that an earlier band has brought together are that bucket's
+                earlier = (short[k, : band * ROWS] == short[i, : band * ROWS]).reshape(len(k), band, ROWS).all(axis=2).any(axis=1)
+                k = k[~earlier]
             if len(k):
-                equal = (matrix[k] == matrix[i]).mean(axis=1)
-                k = k[equal >= threshold - SLACK - 0.1]  # equal registers are about the similarity; the likelihood decides
+                k = k[(matrix[k] == matrix[i]).mean(axis=1) >= threshold - WIDE_SLACK - 0.05]  # equal registers are about the similarity; the likelihood decides
             if len(k):
                 j = estimate(np.broadcast_to(matrix[i], (len(k), matrix.shape[1])), matrix[k], np.full(len(k), n[i]), n[k])
-                found += [(node[i], x) for x in node[k[j >= threshold - SLACK]]]
+                k, j = k[j >= threshold - WIDE_SLACK], j[j >= threshold - WIDE_SLACK]
+                if partners is not None:
+                    k = k[np.argsort(-j, kind="stable")[:partners]]
+                found += [(min(node[i], x), max(node[i], x)) for x in node[k]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return split.groupBy("bucket", "p", "q").applyInPandas(run, "a bigint, b bigint").distinct()
@@ -214,9 +226,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
                     for r in range(ROWS):
                         key = key << _U(16) | wide[:, :, r] if ROWS == 4 else key * _U(0xD1342543DE82EF95) + wide[:, :, r]
                     key = _finish(key ^ turn[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], ["bucket", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows))], ["bucket", "node", "band"])
 
-    members = nodes.select("node", "sketch").mapInArrow(buckets, "bucket bigint, node bigint")
+    members = nodes.select("node", "sketch").mapInArrow(buckets, "bucket bigint, node bigint, band int")
     leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
     shared = materialise(members.join(leaders, "bucket"), "buckets")
 
@@ -237,22 +249,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
 
         for batch in batches:
             for part in pieces(batch, "ss_text"):
-                raw = [s.tobytes() for s in shingle_sets(part.column("ss_text"), width)]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in raw]), pa.array(raw, pa.binary())], ["digest", "items"])
+                made = shingle_sets(part.column("ss_text"), width)
+                raw, wide = [s.tobytes() for s in made], [sketch(s, WIDE).tobytes() if len(s) else None for s in made]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in raw]), pa.array(raw, pa.binary()), pa.array(wide, pa.binary())], ["digest", "items", "wide"])
 
-    sets = texts.mapInArrow(items, "digest binary, items binary").join(wanted.select("node", "digest"), "digest")
-    sets = materialise(sets.groupBy("node").agg(F.first("items").alias("items")), "sets")
+    sets = texts.mapInArrow(items, "digest binary, items binary, wide binary").join(wanted.select("node", "digest"), "digest")
+    sets = materialise(sets.groupBy("node").agg(F.first("items").alias("items"), F.first("wide").alias("wide")), "sets")
 
+    tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = materialise(_verified(best, sets, threshold), "links")
-    first = components(links)
-    labelled = shared.join(first, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    mixed = labelled.join(several, "bucket").join(nodes.select("node", "n", "sketch"), "node")
-    more = materialise(_crossing(mixed, threshold).join(best, ["a", "b"], "left_anti"), "crossing")
-    if more.isEmpty():
-        labels = first
-    else:
-        labels = components(links.unionByName(materialise(_verified(more, sets, threshold), "links")))
+    labels = components(links)
+    wide = sets.select("node", "wide", (F.octet_length("items") / 8).cast("bigint").alias("n"))
+    for partners in PARTNERS:
+        labelled = shared.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
+        several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        mixed = labelled.join(several, "bucket").join(wide, "node")
+        more = materialise(_crossing(mixed, threshold, partners).join(tested, ["a", "b"], "left_anti"), "crossing")
+        tested = tested.unionByName(more)
+        found = materialise(_verified(more, sets, threshold), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
 
     of_node = nodes.select("node", "digest", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = of_node.groupBy("label").agg(F.min("least").alias("component_id"))
