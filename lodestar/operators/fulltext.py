@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.strings import col
-from lodestar.functions.text import STOP_WORDS, tokens
+from lodestar.functions.text import STOP_WORDS
 
 # The suffixes of the light stemmer, tried in this order.
 SUFFIXES = ("ing", "ed", "ly", "ies", "es", "s", "ment", "ness", "able", "ible", "tion", "er", "est")
@@ -28,7 +28,7 @@ def stemmed(word: Column) -> Column:
 
 
 def terms(text: Column | str, stem: bool = False) -> Column:
-    kept = F.filter(tokens(col(text)), lambda w: ~w.isin(*STOP_WORDS))
+    kept = F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{Nd}]+"), lambda w: ~w.isin("", *STOP_WORDS))
     return F.transform(kept, stemmed) if stem else kept
 
 
@@ -82,7 +82,10 @@ class Index:
             else:
                 raise ValueError(ranker)
             scored = joined.select("doc", part.alias("part"))
-        return scored.groupBy("doc").agg(F.sum("part").alias("score")).join(self.search(query).select("doc"), "doc", "left_semi")
+        scores = scored.groupBy("doc").agg(F.sum("part").alias("score"))
+        if re.search(r"\bor\b", query, re.I) and not re.search(r"\bnot\b", query, re.I):
+            return scores  # any term will do
+        return scores.join(self.search(query).select("doc"), "doc", "left_semi")
 
     def stats(self) -> DataFrame:
         return self.docs.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")).crossJoin(self.postings.agg(F.count_distinct("term").alias("terms")))

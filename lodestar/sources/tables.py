@@ -151,8 +151,7 @@ class Database:
         schema = T._parse_datatype_string(meta.schema)
         if meta.sequence and meta.sequence not in rows.columns:
             start = old.agg(F.max(meta.sequence)).first()[0] or 0
-            rows = rows.withColumn("t_order", F.monotonically_increasing_id())
-            rows = rows.withColumn(meta.sequence, F.row_number().over(Window.orderBy("t_order")) + F.lit(start)).drop("t_order")
+            rows = self._numbered(rows, meta.sequence, start)
         for f in schema.fields:
             if f.name in meta.generated:
                 rows = rows.withColumn(f.name, F.expr(meta.generated[f.name]))
@@ -160,6 +159,16 @@ class Database:
                 rows = rows.withColumn(f.name, F.expr(meta.defaults.get(f.name, "NULL")))
         return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
 
+    def _numbered(self, rows: DataFrame, name: str, start: int) -> DataFrame:
+        """rows with the numbers after `start`, gapless: counted per partition, so no task holds all of them."""
+        rows = rows.withColumn("t_order", F.monotonically_increasing_id())
+        rows = rows.checkpoint() if self.spark.sparkContext.getCheckpointDir() else rows
+        rows = rows.withColumn("t_part", F.shiftright("t_order", 33))
+        before = Window.orderBy("t_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+        offsets = rows.groupBy("t_part").count().select("t_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("t_before"))
+        own = F.row_number().over(Window.partitionBy("t_part").orderBy("t_order"))
+        return rows.join(offsets, "t_part").withColumn(name, own + F.col("t_before") + F.lit(start)).drop("t_order", "t_part", "t_before")
+
     def insert(self, name: str, rows: DataFrame, on_conflict: str | None = None, key: list[str] | None = None, update: dict[str, str] | None = None) -> DataFrame:
         """INSERT [ON CONFLICT DO NOTHING | DO UPDATE SET].  In `update` expressions new columns are called excluded.c.
         Returns the rows inserted or updated."""
