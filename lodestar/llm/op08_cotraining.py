@@ -53,7 +53,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "ct_text"):
+            for part in pieces(batch, "ct_text", 2 << 20):
                 texts = part.column("ct_text").cast(pa.large_string())
                 lists = pc.utf8_split_whitespace(texts)
                 at = np.asarray(lists.offsets, dtype=np.int64)
@@ -67,7 +67,7 @@ def features(docs: DataFrame) -> DataFrame:
                 ends = np.cumsum(size)
                 share = np.zeros((9, len(raw)))
                 for k in range(1, 9):
-                    total = np.concatenate([[0], np.cumsum(kinds == k)])
+                    total = np.concatenate([[0], np.cumsum(kinds == k, dtype=np.int32)])
                     share[k] = total[ends] - total[ends - size]
                 full, words = np.maximum(size, 1), np.diff(at)
                 content, unique = [], np.zeros(len(raw))
@@ -166,7 +166,7 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident
             for (target, view), sums in total.items():
                 for c in (0, 1):
                     use = np.flatnonzero(sums[c])
-                    yield pa.RecordBatch.from_arrays([pa.array([target] * len(use)), pa.array([view] * len(use)), pa.array([c] * len(use), pa.int32()), pa.array(use), pa.array(sums[c][use])], ["target", "view", "class", "feature", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([target] * len(use), pa.string()), pa.array([view] * len(use), pa.string()), pa.array([c] * len(use), pa.int32()), pa.array(use), pa.array(sums[c][use])], ["target", "view", "class", "feature", "n"])
 
         sums = table.mapInArrow(count, "target string, view string, class int, feature bigint, n bigint").groupBy("target", "view", "class", "feature").agg(F.sum("n").alias("n")).toPandas()
         for (target, view), own in sums.groupby(["target", "view"]):
