@@ -172,6 +172,7 @@ def _crossing(mixed: DataFrame, threshold: float, partners: int | None) -> DataF
         rows = rows.sort_values("node")
         matrix, n, label, part, node = _matrix(pa.array(rows["wide"])), rows["n"].to_numpy(), rows["label"].to_numpy(), rows["part"].to_numpy(), rows["node"].to_numpy()
         short, band = matrix[:, : BANDS * ROWS], int(rows["band"].iloc[0])
+        sketches, slack = (matrix, WIDE_SLACK) if partners is None else (short, SLACK)
         found = []
         for i in range(len(rows)):
             k = np.flatnonzero(label != label[i])
@@ -183,10 +184,10 @@ def _crossing(mixed: DataFrame, threshold: float, partners: int | None) -> DataF
                 earlier = (short[k, : band * ROWS] == short[i, : band * ROWS]).reshape(len(k), band, ROWS).all(axis=2).any(axis=1)
                 k = k[~earlier]
             if len(k):
-                k = k[(matrix[k] == matrix[i]).mean(axis=1) >= threshold - WIDE_SLACK - 0.05]  # equal registers are about the similarity; the likelihood decides
+                k = k[(sketches[k] == sketches[i]).mean(axis=1) >= threshold - slack - 0.05]  # equal registers are about the similarity; the likelihood decides
             if len(k):
-                j = estimate(np.broadcast_to(matrix[i], (len(k), matrix.shape[1])), matrix[k], np.full(len(k), n[i]), n[k])
-                k, j = k[j >= threshold - WIDE_SLACK], j[j >= threshold - WIDE_SLACK]
+                j = estimate(np.broadcast_to(sketches[i], (len(k), sketches.shape[1])), sketches[k], np.full(len(k), n[i]), n[k])
+                k, j = k[j >= threshold - slack], j[j >= threshold - slack]
                 if partners is not None:
                     k = k[np.argsort(-j, kind="stable")[:partners]]
                 found += [(min(node[i], x), max(node[i], x)) for x in node[k]]
