@@ -129,7 +129,8 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident
     """doc_id; quality, text_quality, meta_quality, toxicity (calibrated probabilities); kept (quality at least one
     half and toxicity under it)."""
     known = labels.groupBy("doc_id").agg(*(F.when(F.avg(t) >= 0.5, 1).when(F.avg(t).isNotNull(), 0).cast("int").alias(t) for t in TARGETS))
-    table = materialise(features(docs).join(known, "doc_id", "left"), "views")
+    # A sort-merge join at every size: the plan, and what it costs, doesn't turn on how few labels there are.
+    table = materialise(features(docs).join(known.hint("merge"), "doc_id", "left"), "views")
     sizes = {"text_view": WORDS, "meta_view": META}
     views = {(t, v): View(n) for t in TARGETS for v, n in sizes.items()}
     joint = {t: np.array([0.0, 0.0, 0.0]) for t in TARGETS}
