@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -40,6 +39,8 @@ BANDS, ROWS, SALTS, BLOCK = 32, 4, 256, 1024
 SLACK, WIDE, WIDE_SLACK = 0.18, 512, 0.085
 #: Partners of a member that a round verifies in each bucket; None: all.
 PARTNERS = (1, 8, None)
+#: Pairs whose short sketches a task compares at once.
+SLAB = 1 << 15
 BROADCAST_ROWS = 500_000
 _U = np.uint64
 
@@ -160,40 +161,80 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return _attach(pairs, sets, ["items"]).mapInArrow(run, "a bigint, b bigint")
 
 
+def _likely(rows: pa.Table, threshold: float, partners: int | None) -> pa.RecordBatch:
+    """Pairs of _crossing() from whole groups, whose rows stand together: all, or the `partners` likeliest of each row."""
+    column = lambda name: rows.column(name).to_numpy()
+    wide = _matrix(rows.column("wide").combine_chunks())
+    n, label, part, node, band, within = map(column, ("n", "label", "part", "node", "band", "p"))
+    short, across = wide[:, : BANDS * ROWS], within != column("q")
+    starts = _starts(rows)
+    ends = np.repeat(np.append(starts[1:], len(node)), np.diff(np.append(starts, len(node))))
+    later = ends - np.arange(len(node)) - 1  # members of the group after each row
+    total, found, i = np.cumsum(later), [], 0
+    while i < len(node):
+        stop = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + SLAB, side="right")))
+        counts = later[i:stop]
+        x = np.repeat(np.arange(i, stop), counts)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts)
+        i = stop
+        fresh = (label[x] != label[y]) & ~(across[x] & (part[x] == part[y]))
+        x, y = x[fresh], y[fresh]
+        same = short[x] == short[y]
+        bands = same.reshape(len(x), BANDS, ROWS).all(axis=2)
+        first = np.where(bands.any(axis=1), bands.argmax(axis=1), BANDS)  # pairs that an earlier band has brought together are that bucket's
+        fresh = (first >= band[x]) & (same.mean(axis=1) >= threshold - SLACK - 0.05)  # equal registers are about the similarity; the likelihood decides
+        x, y = x[fresh], y[fresh]
+        fresh = (wide[x] == wide[y]).mean(axis=1) >= threshold - WIDE_SLACK - 0.05
+        x, y = x[fresh], y[fresh]
+        for k in range(0, len(x), SLAB // 4):
+            u, v = x[k : k + SLAB // 4], y[k : k + SLAB // 4]
+            j = estimate(wide[u], wide[v], n[u], n[v])
+            near = j >= threshold - WIDE_SLACK
+            found.append((u[near], v[near], j[near]))
+    x, y, j = (np.concatenate(part) if found else np.zeros(0) for part in (zip(*found, strict=True) if found else ((), (), ())))
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    if partners is not None and len(x):
+        x, y, j = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([j, j])
+        order = np.lexsort((y, -j, x))
+        x, y = x[order], y[order]
+        begin = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        rank = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
+        x, y = x[rank < partners], y[rank < partners]
+    pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where the groups (bucket, p, q) of sorted rows begin."""
+    keys = np.stack([rows.column(c).to_numpy() for c in ("bucket", "p", "q")], axis=1)
+    return np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else np.zeros(0, np.int64)
+
+
 def _crossing(mixed: DataFrame, threshold: float, partners: int | None) -> DataFrame:
     """Likely pairs of different components inside the buckets of `mixed` (bucket, band, node, label, n, wide): of each
-    member the `partners` likeliest.  Buckets are cut into blocks; a task holds two blocks at most."""
+    member the `partners` likeliest.  Buckets are cut into blocks; a group has two blocks at most.  Groups are small but
+    many, so a task compares those of an Arrow batch at once and holds back the last, which may go on in the next."""
     sizes = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     split = mixed.join(sizes, "bucket").withColumn("part", F.pmod(F.hash("node"), F.col("parts").cast("int")).cast("long"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     split = split.withColumn("other", other).withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other"))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
-        matrix, n, label, part, node = _matrix(pa.array(rows["wide"])), rows["n"].to_numpy(), rows["label"].to_numpy(), rows["part"].to_numpy(), rows["node"].to_numpy()
-        short, band = matrix[:, : BANDS * ROWS], int(rows["band"].iloc[0])
-        sketches, slack = (matrix, WIDE_SLACK) if partners is None else (short, SLACK)
-        found = []
-        for i in range(len(rows)):
-            k = np.flatnonzero(label != label[i])
-            if key[1] != key[2]:
-                k = k[part[k] != part[i]]
-            if partners is None:
-                k = k[k > i]
-            if len(k) and band:  # pairs that an earlier band has brought together are that bucket's
-                earlier = (short[k, : band * ROWS] == short[i, : band * ROWS]).reshape(len(k), band, ROWS).all(axis=2).any(axis=1)
-                k = k[~earlier]
-            if len(k):
-                k = k[(sketches[k] == sketches[i]).mean(axis=1) >= threshold - slack - 0.05]  # equal registers are about the similarity; the likelihood decides
-            if len(k):
-                j = estimate(np.broadcast_to(sketches[i], (len(k), sketches.shape[1])), sketches[k], np.full(len(k), n[i]), n[k])
-                k, j = k[j >= threshold - slack], j[j >= threshold - slack]
-                if partners is not None:
-                    k = k[np.argsort(-j, kind="stable")[:partners]]
-                found += [(min(node[i], x), max(node[i], x)) for x in node[k]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return split.groupBy("bucket", "p", "q").applyInPandas(run, "a bigint, b bigint").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                rows = pa.concat_tables([held, rows]) if held is not None else rows
+                last = int(_starts(rows)[-1])
+                if last:
+                    yield _likely(rows.slice(0, last), threshold, partners)
+                held = rows.slice(last)
+        if held is not None:
+            yield _likely(held, threshold, partners)
+
+    split = split.select("bucket", "p", "q", "band", "node", "label", "n", "part", "wide")
+    split = split.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node")
+    return split.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
