@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialise
+from lodestar.llm.common import discard, materialise
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -21,9 +21,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
         after = materialise(step.join(jump, "label", "left").select("node", "was", F.least("label", "up").alias("label")), "labels")
+        discard(labels)
         labels = after.select("node", "label")
         if after.where("was <> label").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    discard(both)
     return labels

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialise, pieces, python_ready, text_of
+from lodestar.llm.common import materialise, pieces, python_ready, release, text_of
 from lodestar.llm.graph import components
 
 BASE, TOP, RATE = 1.001, (1 << 16) - 2, 20.0
@@ -301,6 +301,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = materialise(_verified(best, sets, threshold), "links")
     labels = components(links)
+    release(docs.sparkSession)
     wide = sets.select("node", "wide", (F.octet_length("items") / 8).cast("bigint").alias("n"))
     for partners in PARTNERS:
         labelled = shared.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
@@ -312,6 +313,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links)
+        release(docs.sparkSession)
 
     of_node = nodes.select("node", "digest", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = of_node.groupBy("label").agg(F.min("least").alias("component_id"))
