@@ -3,12 +3,15 @@
 Only vectors with equal labels are compared, by cosine in double precision; vectors that are null or zero or hold a
 null or non-finite component, and rows with a null label, link with nothing.  Equal vectors of one label are one node.
 
-1. Start: in each of `orders` orders (label, signs of random projections) every node meets its `window` successors.
+1. Start: in each of several orders (label, signs of random projections) every node meets its `window` successors.
+   Bits and number of orders (`ORDERS` at least) follow the rows of the largest label.
 2. Rounds: each node's neighbours, forward and a hashed sample of the reverse, are joined at that node; pairs that beat
    a member's worst neighbour enter its list, and the best `k` stay.  Links (cosine at or above the threshold) are kept
-   apart, whatever the lists drop.  A round ends the refinement when it finds no link and few neighbours change.
+   apart, whatever the lists drop.  A round ends the refinement when the audit holds, no components merge and at most
+   `CHANGED` of the lists' entries are new.
 3. Audit: up to `AUDIT` vectors (ids divisible by 50, least hash first; a bounded set, so it may be broadcast) are
-   compared to all rows; rounds go on while the links of these are found with a recall under `recall`.
+   compared to all rows.  While the mean recall of these vectors, or of those with few links, is under `recall`, rounds
+   go on with further orders; if it stays there, the operator raises.  Audited links are reported, not added.
 4. Lists that hold nothing but links are saturated, so lists are enlarged to every member of their component, compared
    in blocks of `BLOCK`: links are counted, never written out as pairs.
 
@@ -17,6 +20,7 @@ Repeated rows repeat their results.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,8 @@ from lodestar.llm.common import materialise, python_ready
 from lodestar.llm.graph import components
 
 K, ORDERS, WINDOW, ROUNDS, RECALL, AUDIT, BLOCK = 10, 8, 16, 6, 0.98, 2000, 1024
+MISS, FEW, CHANGED = 1e-3, 10, 0.05
+log = logging.getLogger(__name__)
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -52,7 +58,38 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         yield pa.concat_batches(held)
 
 
-def _start(nodes: DataFrame, order: int, window: int, k: int) -> DataFrame:
+def _effort(rows: int, threshold: float) -> tuple[int, int]:
+    """Bits of a code and number of orders for the largest label: a pair at the threshold, whose codes have to agree in
+    the bits that leave a window of rows, meets in no order with a chance of at most MISS."""
+    depth = np.log2(max(2, rows))
+    agree = (1 - np.arccos(min(1.0, threshold)) / np.pi) ** max(1.0, depth - np.log2(WINDOW))
+    orders = int(np.ceil(np.log(MISS) / np.log1p(-agree))) if agree < 1 else 1
+    return min(62, 16 + int(np.ceil(depth))), max(ORDERS, orders)
+
+
+def _starts(nodes: DataFrame, orders: range, bits: int, k: int) -> DataFrame:
+    found = _start(nodes, orders[0], bits, WINDOW, k)
+    for order in orders[1:]:
+        found = found.unionByName(_start(nodes, order, bits, WINDOW, k))
+    return materialise(found, "starts")
+
+
+def _merged(labels: DataFrame) -> int:
+    """Nodes less components: how many unions the links stand for."""
+    r = labels.agg(F.count("*").alias("n"), F.count_distinct("label").alias("c")).first()
+    return r["n"] - r["c"]
+
+
+def _recall(truth: DataFrame, labels: DataFrame) -> tuple[int, float, float]:
+    """Audited vectors with links, their mean recall, and that of those with at most FEW links.  Each vector counts
+    once, so that large groups cannot hide lost pairs.  A link counts as found when a component holds both ends."""
+    left, right = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    each = truth.join(left, "a", "left").join(right, "b", "left").groupBy("a").agg(F.avg(F.coalesce((F.col("la") == F.col("lb")).cast("double"), F.lit(0.0))).alias("r"), F.count("*").alias("n"))
+    r = each.agg(F.count("*").alias("n"), F.avg("r").alias("all"), F.avg(F.when(F.col("n") <= FEW, F.col("r"))).alias("small")).first()
+    return r["n"], 1.0 if r["all"] is None else r["all"], 1.0 if r["small"] is None else r["small"]
+
+
+def _start(nodes: DataFrame, order: int, bits: int, window: int, k: int) -> DataFrame:
     """a, b, s: the best k of each node's next rows in one order."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,8 +97,8 @@ def _start(nodes: DataFrame, order: int, window: int, k: int) -> DataFrame:
             codes = []
             for raw in batch.column("vec").to_pylist():
                 v = np.frombuffer(raw)
-                planes = np.random.default_rng([order, len(v)]).standard_normal((16, len(v))) if not codes or len(v) != planes.shape[1] else planes
-                codes.append(int(((planes @ v) > 0) @ (1 << np.arange(16)[::-1])))
+                planes = np.random.default_rng([order, len(v)]).standard_normal((bits, len(v))) if not codes or len(v) != planes.shape[1] else planes
+                codes.append(int(((planes @ v) > 0) @ (1 << np.arange(bits)[::-1])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int64())], ["node", "label", "vec", "code"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,32 +225,36 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = K, recal
     nodes = rows.where("vec is not null and vec_id is not null").groupBy("label", "vec").agg(F.min("vec_id").cast("long").alias("node"), F.count_distinct("vec_id").alias("copies"))
     nodes = materialise(nodes.select("node", "label", "vec", "copies"), "nodes")
 
-    found = _start(nodes, 0, WINDOW, k)
-    for order in range(1, ORDERS):
-        found = found.unionByName(_start(nodes, order, WINDOW, k))
-    found = materialise(found, "starts")
+    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    bits, orders = _effort(largest, threshold)
+    found = _starts(nodes, range(orders), bits, k)
     graph = materialise(_best(found, k), "graph")
     links = materialise(found.where(F.col("s") >= threshold).select("a", "b").distinct(), "links")
     queries = [tuple(r) for r in nodes.where("node % 50 = 0").orderBy(F.xxhash64("node")).select("node", "label", "vec").limit(AUDIT).collect()]
     truth = materialise(_audited(nodes, queries, threshold), "audit")
-    wanted, have = truth.count(), links.count()
-    for turn in range(rounds):
+    reached = components(links)
+    merged, used, turn = _merged(reached), orders, 0
+    while True:
         met = materialise(_local_join(graph, nodes, k, turn, threshold), "met")
-        graph = materialise(_best(graph.unionByName(met), k), "graph")
+        if turn and not held:  # the orders so far were too few for this table
+            met = met.unionByName(_starts(nodes, range(used, used + orders), bits, k))
+            used += orders
+        was, graph = graph, materialise(_best(graph.unionByName(met), k), "graph")
         links = materialise(links.unionByName(met.where(F.col("s") >= threshold).select("a", "b")).distinct(), "links")
-        had, have = have, links.count()
-        reached = components(links) if have else None
-        if not wanted:
-            short = 0
-        elif reached is None:
-            short = wanted
-        else:  # a link counts as found when its ends have met: blocks then compare all of a component
-            left, right = reached.select(F.col("node").alias("a"), F.col("label").alias("la")), reached.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-            short = wanted - truth.join(left, "a").join(right, "b").where("la = lb").count()
-        if short <= (1 - recall) * wanted and (have == had or not wanted or turn >= 1):
+        reached = components(links)
+        had, merged = merged, _merged(reached)
+        n, overall, small = _recall(truth, reached)
+        held = min(overall, small) >= recall
+        changed = graph.join(was, ["a", "b"], "left_anti").count() / max(1, graph.count())
+        turn += 1
+        log.info("round %d, %d orders of %d bits: %d audited vectors with links, recall %.4f, of those with few links %.4f; %d merged, %.3f of the lists new", turn, used, bits, n, overall, small, merged, changed)
+        if held and merged == had and changed <= CHANGED:
+            break
+        if turn >= rounds + bits:
+            if not held or merged != had:
+                raise RuntimeError(f"NN-descent: recall {overall:.4f}, of vectors with few links {small:.4f}, after {turn} rounds and {used} orders; {merged - had} components merged in the last")
             break
-    links = materialise(links.unionByName(truth).distinct(), "links")
-    labels = components(links).select("node", F.col("label").alias("component"))
+    labels = reached.select("node", F.col("label").alias("component"))
     others = _count_in_blocks(labels.join(nodes.select("node", "copies", "vec"), "node"), threshold)
     of_node = nodes.join(labels, "node", "left").join(others, "node", "left")
     of_node = of_node.select("label", "vec", F.coalesce("component", "node").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
