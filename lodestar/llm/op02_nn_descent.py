@@ -12,8 +12,9 @@ null or non-finite component, and rows with a null label, link with nothing.  Eq
 3. Audit: up to `AUDIT` vectors (ids divisible by 50, least hash first; a bounded set, so it may be broadcast) are
    compared to all rows.  While the mean recall of these vectors, or of those with few links, is under `recall`, rounds
    go on with further orders; if it stays there, the operator raises.  Audited links are reported, not added.
-4. Lists that hold nothing but links are saturated, so lists are enlarged to every member of their component, compared
-   in blocks of `BLOCK`: links are counted, never written out as pairs.
+4. Lists that hold nothing but links are saturated.  They are enlarged by the k best neighbours outside the node's
+   component, which take part in the joins, until one of them is no link and no components merge; and to every member
+   of the component, compared in blocks of `BLOCK`: links are counted, never written out as pairs.
 
 Repeated rows repeat their results.
 """
@@ -134,17 +135,33 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
 
 
-def _local_join(graph: DataFrame, nodes: DataFrame, k: int, turn: int, threshold: float) -> DataFrame:
+def _lists(pairs: DataFrame, labels: DataFrame, k: int, threshold: float, more: DataFrame | None = None) -> DataFrame:
+    """a, b, s, far: the k best neighbours, and for nodes whose k best all are links the k best outside the node's
+    component (far), also from `more`; so the lists stand for the whole component and a way out of it."""
+    near = materialise(_best(pairs, k), "near")
+    full = near.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("least")).where((F.col("n") >= k) & (F.col("least") >= threshold)).select("a")
+    rest = pairs if more is None else pairs.select("a", "b", "s").unionByName(more)
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}"))
+    rest = rest.join(full, "a", "left_semi").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "s")
+    return near.withColumn("far", F.lit(False)).unionByName(_best(rest, k).withColumn("far", F.lit(True)))
+
+
+def _local_join(graph: DataFrame, nodes: DataFrame, labels: DataFrame, k: int, turn: int, threshold: float) -> DataFrame:
     """Candidates a, b, s from the neighbours that meet at each node."""
-    degree = graph.groupBy("b").agg(F.count("*").alias("degree"))
+    degree = graph.groupBy("b", "far").agg(F.count("*").alias("degree"))
     chance = F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.lit(1 << 20)) < F.lit(2 * k << 20) / F.col("degree")
-    reverse = graph.join(degree, "b").where(chance).select(F.col("b").alias("at"), F.col("a").alias("node"))
+    reverse = graph.join(degree, ["b", "far"]).where(chance).select(F.col("b").alias("at"), F.col("a").alias("node"))
     forward = graph.select(F.col("a").alias("at"), F.col("b").alias("node"))
     own = nodes.select(F.col("node").alias("at"), "node")
-    worst = graph.groupBy(F.col("a").alias("node")).agg(F.min("s").alias("worst"), F.count("*").alias("n"))
-    worst = worst.select("node", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(-2.0)).alias("worst"))
-    members = forward.unionByName(reverse).unionByName(own).distinct().join(nodes.select("node", "vec"), "node").join(worst, "node", "left")
-    members = members.select("at", "node", "vec", F.coalesce("worst", F.lit(-2.0)).alias("worst")).repartition("at").sortWithinPartitions("at", "node")
+    held = lambda far: F.when(F.col("far") == F.lit(far), F.col("s"))
+    worst = graph.groupBy(F.col("a").alias("node")).agg(*(f(held(x)).alias(n + str(x)) for x in (False, True) for f, n in ((F.min, "s"), (F.count, "n"))))
+    bound = lambda x: F.when(F.col(f"n{x}") >= k, F.col(f"s{x}")).otherwise(F.lit(-2.0))
+    # Only a node whose list holds nothing but links looks beyond its component.
+    worst = worst.select("node", bound(False).alias("worst"), F.when(bound(False) >= threshold, bound(True)).otherwise(F.lit(2.0)).alias("beyond"))
+    members = forward.unionByName(reverse).unionByName(own).distinct().join(nodes.select("node", "vec"), "node").join(worst, "node", "left").join(labels, "node", "left")
+    members = members.select("at", "node", "vec", F.coalesce("worst", F.lit(-2.0)).alias("worst"), F.coalesce("beyond", F.lit(2.0)).alias("beyond"), F.coalesce("label", "node").alias("component"))
+    members = members.repartition("at").sortWithinPartitions("at", "node")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, s = [], [], []
@@ -152,12 +169,17 @@ def _local_join(graph: DataFrame, nodes: DataFrame, k: int, turn: int, threshold
             node, worst, unit = group.column("node").to_numpy(), group.column("worst").to_numpy(), _unit(group.column("vec"))
             sims = unit @ unit.T
             np.fill_diagonal(sims, -3)
-            top = np.argsort(-sims, axis=1)[:, :k]
-            best = np.take_along_axis(sims, top, axis=1)
-            i, j = np.nonzero((best > worst[:, None]) | (best >= threshold))
-            a.append(node[i])
-            b.append(node[top[i, j]])
-            s.append(best[i, j])
+            component, beyond = group.column("component").to_numpy(), group.column("beyond").to_numpy()
+            turns = [(sims, worst)]
+            if (beyond < 2).any():
+                turns.append((np.where(component[:, None] == component[None, :], -3, sims), beyond))
+            for sims_, least in turns:
+                top = np.argsort(-sims_, axis=1)[:, :k]
+                best = np.take_along_axis(sims_, top, axis=1)
+                i, j = np.nonzero((best > least[:, None]) | (best >= threshold))
+                a.append(node[i])
+                b.append(node[top[i, j]])
+                s.append(best[i, j])
             if sum(map(len, a)) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, s)], ["a", "b", "s"])
                 a, b, s = [], [], []
@@ -228,21 +250,22 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = K, recal
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, orders = _effort(largest, threshold)
     found = _starts(nodes, range(orders), bits, k)
-    graph = materialise(_best(found, k), "graph")
     links = materialise(found.where(F.col("s") >= threshold).select("a", "b").distinct(), "links")
     queries = [tuple(r) for r in nodes.where("node % 50 = 0").orderBy(F.xxhash64("node")).select("node", "label", "vec").limit(AUDIT).collect()]
     truth = materialise(_audited(nodes, queries, threshold), "audit")
     reached = components(links)
+    graph = materialise(_lists(found, reached, k, threshold), "graph")
     merged, used, turn = _merged(reached), orders, 0
     while True:
-        met = materialise(_local_join(graph, nodes, k, turn, threshold), "met")
+        met = materialise(_local_join(graph, nodes, reached, k, turn, threshold), "met")
         if turn and not held:  # the orders so far were too few for this table
             met = met.unionByName(_starts(nodes, range(used, used + orders), bits, k))
             used += orders
-        was, graph = graph, materialise(_best(graph.unionByName(met), k), "graph")
         links = materialise(links.unionByName(met.where(F.col("s") >= threshold).select("a", "b")).distinct(), "links")
         reached = components(links)
         had, merged = merged, _merged(reached)
+        # Where components have merged, lists of neighbours outside them may be empty: the starts fill them again.
+        was, graph = graph, materialise(_lists(graph.select("a", "b", "s").unionByName(met), reached, k, threshold, found if merged > had else None), "graph")
         n, overall, small = _recall(truth, reached)
         held = min(overall, small) >= recall
         changed = graph.join(was, ["a", "b"], "left_anti").count() / max(1, graph.count())

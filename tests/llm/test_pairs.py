@@ -137,6 +137,32 @@ def test_nn_descent_audit_sees_lone_pairs(spark, monkeypatch):
     assert len(lone) > 60 and np.mean([got[i] == want[i] for i in lone]) >= 0.95
 
 
+def drifting(clumps=40, size=60, dims=24):
+    """Dense clumps; each is linked with the next by one pair only, through a way out of its middle."""
+    r = np.random.default_rng(9)
+    out = []
+    for _ in range(clumps // 2):
+        u, v, w = np.linalg.qr(r.standard_normal((dims, 3)))[0].T
+        at = lambda angle: np.cos(angle) * u + np.sin(angle) * v  # noqa: B023, E731
+        out += [at(0) + 0.004 * r.standard_normal(dims) for _ in range(size)]
+        out += [at(0.36) + 0.004 * r.standard_normal(dims) for _ in range(size)]
+        out += [at(0.09) + 0.004 * w, at(0.27) + 0.004 * w]
+    return out
+
+
+def test_nn_descent_leaves_dense_groups(spark, monkeypatch):
+    """Lists full of closer neighbours must not hide the link between two dense groups.  From one short start the
+    search may still stop before a link: 12 splits at most are let pass, where joins within components leave 24."""
+    vecs = drifting()
+    ids = [50 * int(i) + 1 for i in np.random.default_rng(4).permutation(len(vecs))]  # none is audited
+    rows = list(zip(ids, [v.tolist() for v in vecs], strict=True))
+    for name, value in {"ORDERS": 1, "WINDOW": 4, "MISS": 0.9}.items():
+        monkeypatch.setattr(op02_nn_descent, name, value, raising=False)
+    want = brute_components(rows)
+    got = {x["vec_id"]: x["component_id"] for x in op02_nn_descent.near_duplicates(spark.createDataFrame([(*x, 0) for x in rows], "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert len(set(want.values())) == 20 and len(set(got.values())) <= 32
+
+
 def test_nn_descent_recall_counts_each_vector_once(spark):
     truth = spark.createDataFrame([(0, k) for k in range(1, 200)] + [(500, 501)], "a bigint, b bigint")
     labels = spark.createDataFrame([(k, 0) for k in range(200)], "node bigint, label bigint")
