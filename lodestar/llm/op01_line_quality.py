@@ -1,11 +1,12 @@
 """Quality rules by cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (lower case, runs of white space to one space, digit runs to 0) and hashed with their host
-(`source`).  A line of at most `max_line_words` words is boilerplate on a host when it stands in at least `min_docs`
-documents of different content there and in more than `share` of them.  Such lines are removed.  A document is
-rejected if it fails the base rules or is depleted: boilerplate makes up more than `depleted` of its words.
-Exact copies of a text count as one document, so that copying alone does not condemn a text; longer lines that
-repeat are passages, which the near-duplicate and substring stages handle.
+(`source`).  A line is boilerplate on a host when it stands in at least `min_docs` documents of different content
+there and in more than `share` of them.  Such lines are removed.  A document is rejected if it fails the base rules
+or is depleted: boilerplate makes up more than `depleted` of its words.
+Exact copies of a text count as one document, so that copying alone does not condemn a text.  For a line of more than
+`max_line_words` words, which near copies of one text share too, only documents with a content of their own count: at
+least half of the words of their distinct lines stand in lines that fewer than `min_docs` documents of the host have.
 
 Null text has no words; a null host is a host of its own.  Repeated rows yield repeated results.  Hashes have 64 bits
 (two of them for a document's content).  Line keys are distinct per content before they are counted, and counted with
@@ -76,20 +77,27 @@ def line_quality(docs: DataFrame, max_line_words: int = MAX_LINE_WORDS, min_docs
     key = lambda line: F.xxhash64(F.col("lq_host"), normalised(line))
     base = docs.withColumn("lq_text", text_of()).withColumn("lq_host", host)
     base = base.withColumn("lq_c1", F.xxhash64("lq_host", "lq_text")).withColumn("lq_c2", F.xxhash64(F.lit(17), F.col("lq_text"), F.col("lq_host")))
-    short = lambda a: F.filter(a, lambda x: F.size(words(x)) <= max_line_words)
+    keyed = lambda a: F.transform(a, lambda x: F.struct(key(x).alias("k"), F.size(words(x)).alias("n")))
 
-    found = base.select("lq_host", "lq_c1", "lq_c2", F.explode(F.array_distinct(F.transform(short(lines(F.col("lq_text"))), key))).alias("lq_key")).distinct()
+    found = base.select("lq_host", "lq_c1", "lq_c2", F.explode(F.array_distinct(keyed(lines(F.col("lq_text"))))).alias("lq_line"))
+    found = found.select("lq_host", "lq_c1", "lq_c2", F.col("lq_line.k").alias("lq_key"), F.col("lq_line.n").alias("lq_size")).distinct()
     counts = found.groupBy("lq_key", "lq_host").agg(F.count("*").alias("lq_n")).where(F.col("lq_n") >= min_docs)
     hosts = base.select("lq_host", "lq_c1", "lq_c2").distinct().groupBy("lq_host").agg(F.count("*").alias("lq_docs"))
-    common = counts.join(hosts, "lq_host").where(F.col("lq_n") * 1000 > F.col("lq_docs") * F.lit(round(share * 1000))).select("lq_key")
-    removed = found.join(common, "lq_key").groupBy("lq_c1", "lq_c2").agg(F.collect_set("lq_key").alias("lq_removed"))
+    often = lambda x: x.join(hosts, "lq_host").where(F.col("lq_n") * 1000 > F.col("lq_docs") * F.lit(round(share * 1000))).select("lq_key")
+    longer = F.col("lq_size") > max_line_words
+    alike = found.join(counts.select("lq_key", "lq_n"), "lq_key", "left")
+    alike = alike.groupBy("lq_c1", "lq_c2").agg(F.sum("lq_size").alias("lq_all"), F.sum(F.when(F.col("lq_n").isNull(), F.col("lq_size")).otherwise(0)).alias("lq_own"), F.max(longer & F.col("lq_n").isNotNull()).alias("lq_has"))
+    own = alike.where(F.col("lq_has") & (F.col("lq_own") * 2 >= F.col("lq_all"))).select("lq_c1", "lq_c2")
+    long_counts = found.where(longer).join(own, ["lq_c1", "lq_c2"], "left_semi").groupBy("lq_key", "lq_host").agg(F.count("*").alias("lq_n")).where(F.col("lq_n") >= min_docs)
+    common = often(counts).withColumn("lq_long", F.lit(False)).unionByName(often(long_counts).withColumn("lq_long", F.lit(True)))
+    removed = found.withColumn("lq_long", longer).join(common, ["lq_key", "lq_long"]).groupBy("lq_c1", "lq_c2").agg(F.collect_set("lq_key").alias("lq_removed"))
 
     each = base.withColumn("lq_words", words(F.col("lq_text"))).withColumn("lq_lines", lines(F.col("lq_text")))
     each = each.withColumn("n_words", F.size("lq_words").cast("long"))
     each = each.withColumn("word_chars", F.length(F.array_join("lq_words", "")).cast("long"))
     each = each.withColumn("n_symbols", F.regexp_count("lq_text", F.lit(r"[#*$%&|<>]")).cast("long"))
     each = each.withColumn("n_dup_lines", (F.size("lq_lines") - F.size(F.array_distinct("lq_lines"))).cast("long"))
-    each = each.withColumn("lq_each", F.transform(short(F.col("lq_lines")), lambda x: F.struct(key(x).alias("k"), F.size(words(x)).alias("n"))))
+    each = each.withColumn("lq_each", keyed(F.col("lq_lines")))
     each = each.withColumn("n_repeat_words", repeated_words(F.col("lq_words"))).drop("lq_words", "lq_lines")
 
     out = each.join(removed, ["lq_c1", "lq_c2"], "left")
@@ -99,7 +107,7 @@ def line_quality(docs: DataFrame, max_line_words: int = MAX_LINE_WORDS, min_docs
     out = out.withColumn("removed_words", F.aggregate("lq_gone", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]))
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * F.lit(round(repeat_share * 100))))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") * 100 <= F.col("n_words") * F.lit(round(depleted * 100))))
-    stay = F.filter(F.split("lq_text", "\n"), lambda x: ~((F.size(words(x)) > 0) & (F.size(words(x)) <= max_line_words) & F.array_contains("lq_removed", key(x))))
+    stay = F.filter(F.split("lq_text", "\n"), lambda x: ~((F.size(words(x)) > 0) & F.array_contains("lq_removed", key(x))))
     out = out.withColumn("clean_text", F.when(F.col("lq_removed").isNull(), F.col("lq_text")).otherwise(F.array_join(stay, "\n")))
     return out.drop("lq_text", "lq_host", "lq_c1", "lq_c2", "lq_each", "lq_removed", "lq_gone")
 

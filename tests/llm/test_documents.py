@@ -39,6 +39,20 @@ def test_line_quality(spark, odd, clashing, empty):
     assert op01_line_quality.line_quality(empty).count() == 0
 
 
+def test_line_quality_long_lines(spark):
+    """A notice of more than 20 words is boilerplate; a long passage that near copies share is not."""
+    notice, passage = " ".join(f"notice{i}" for i in "abcdefghijklmnopqrstuvwxyz"), " ".join(f"passage{i}" for i in "abcdefghijklmnopqrstuvwxyz")
+    own = lambda i, n: " ".join(f"own{chr(97 + i)}{chr(97 + k)}" for k in range(n))
+    rows = [(i, f"{own(i, 26)}\n{notice}\n{own(i + 10, 8)}", "en", "h", 1) for i in range(8)]
+    rows += [(20, f"{own(20, 3)}\n{notice}", "en", "h", 1)]
+    rows += [(30 + i, f"{passage}\n{passage[::-1]}\nedit {own(i, 2)}", "en", "g", 1) for i in range(8)]
+    got = {r["doc_id"]: r for r in op01_line_quality.line_quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()}
+    for i, text, *_ in rows:
+        removed = 26 if i < 30 else 0
+        assert (got[i]["removed_words"], got[i]["removed_lines"], got[i]["kept"]) == (removed, removed // 26, i != 20)
+        assert got[i]["clean_text"] == (text.replace(notice + "\n", "").replace("\n" + notice, "") if removed else text)
+
+
 def test_line_quality_removes_boilerplate(spark):
     body = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
     rows = [(i, f"All  rights Reserved {2000 + i}\n{body(i)}", "en", "h", 1) for i in range(8)]
