@@ -28,14 +28,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies and near copies (five-word shingles, 0.8) the smallest doc_id stays, once."""
-    verdict = materialise(op10_setsketch.near_duplicates(docs, width=5, threshold=0.8).where("doc_id is not null"), "verdict")
-    out = docs.join(verdict.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    twice = verdict.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not twice.isEmpty():  # rows that repeat a doc_id
-        once = out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(twice, "doc_id", "left_anti").unionByName(once)
-    return out.select(*docs.columns)
+    """Of each group of copies and near copies (five-word shingles, 0.8) one row stays, that of the smallest doc_id.
+
+    Rows are judged by a key of their own, in the order of doc_id (null last), whatever ids are null or repeat.
+    """
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("nd_hash")]
+    rows = docs.withColumn("nd_hash", F.xxhash64(*docs.columns)).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialise(rows.drop("nd_hash").withColumn("nd_row", F.monotonically_increasing_id()), "rows")
+    verdict = op10_setsketch.near_duplicates(rows.select(F.col("nd_row").alias("doc_id"), "text"), width=5, threshold=0.8)
+    kept = materialise(verdict.where("kept").select(F.col("doc_id").alias("nd_row")), "verdict")
+    return rows.join(kept, "nd_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

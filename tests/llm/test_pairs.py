@@ -223,3 +223,13 @@ def test_pipeline(spark):
     assert ids[2] == {r["doc_id"] for r in op10_setsketch.near_duplicates(steps[1]).where("kept").collect()} and ids[2] == ids[3] == ids[4] == ids[5]
     assert all(not op06_pii.base_spans(r["text"]) for r in steps[4].collect())
     assert steps[5].agg({"length": "sum"}).first()[0] == sum(r["doc_tokens"] for r in steps[5].select("doc_id", "doc_tokens").distinct().collect())
+
+
+def test_near_dedup_judges_rows(spark):
+    """Null ids don't shield copies, and a repeated id costs no text of its own."""
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in ("one", "two", "three"))
+    rows = [(1, one), (None, one), (None, one), (2, one), (2, two), (2, two), (None, three), (None, three), (None, None)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF).collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([(1, one), (2, two), (None, three), (None, None)], "doc_id bigint, text string").collect()))
