@@ -34,7 +34,7 @@ END = np.int64(-1)  # stands for the end; words get non-negative hashes
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Word numbers of all texts in a row, the distinct words, and where each text begins."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()))
     flat, at = lists.flatten(), np.asarray(lists.offsets, dtype=np.int64)
     at = at - at[0]
     real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)

@@ -58,7 +58,7 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; a shorter text is one shingle, an empty one none."""
     import xxhash
 
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()))
     flat, at = words.flatten(), np.asarray(words.offsets, dtype=np.int64)
     at = at - at[0]
     real = pc.not_equal(flat, "")
