@@ -1,35 +1,48 @@
 """Language-model scores from Brown classes.
 
-Counts cover every training text.  The most frequent words (at most `TOP`, above a count found from a histogram) are
-items of their own; every rarer word belongs to the item of its ending (`GROUPS` of them), so that each word of the
-corpus has a class.  Exchange clustering: one pass over the corpus gives, for each item, the counts of the classes
-before and after it; items then move, one small batch
-after another, to the class that raises the class-bigram likelihood most, half of them in each round (so that a round is one
-distributed pass).  Tables on the driver are bounded by TOP + GROUPS
-items times CLASSES, whatever the corpus; counts of rarer words stay distributed and meet their tokens in a shuffled join.
-
-P(w | before) = WEIGHT * P(class(w) | class(before)) * count(w) / count(class(w)) + (1 - WEIGHT) * (count(w) + 1) / (N + V + 1),
-with transition counts smoothed by SMOOTH pseudo-counts of the class's overall share.  A text starts after an end.
-
-Words are known by 64-bit hashes.  Null or empty text: one token, its end.  Without training texts every token is
-unknown.  A null doc_id counts as an empty one.  Repeated rows count as often as they stand there.
+Every training word has a class of its own choosing: the end of a text is class 0, and exchange clustering deals all other words,
+whatever their count, over the rest.  The number of classes grows with the vocabulary (CLASSES * V ** 0.25).
+
+1. Texts become chunks: arrays of local word numbers with the sorted hashes of the chunk's words.  The table is bucketed
+   by a chunk number that hashes to the writing task's own bucket, so that it is never shuffled.
+2. Words live in shards, ranges of their hashes with about SHARD_WORDS words each.  Chunks send each shard its words'
+   counts, and later the counts of the classes before and after them, already summed within the chunk; a shard's task
+   adds them up as they stream in, and answers each chunk's question for a word's count or class likewise.
+3. A half pass moves the words of every second shard, each to the class that raises the class-bigram likelihood most.
+   Only the class-by-class matrix comes to the driver.  Passes end when the mutual information of neighbouring
+   classes settles (a whole pass gains less than SETTLED of it), or falls, or after `passes`.
+
+P(w | before) = weight * P(class(w) | class(before)) * count(w) / count(class(w)) + (1 - weight) * (count(w) + 1) / (N + V + 1),
+with transition counts smoothed by `smooth` pseudo-counts of the class's overall share.  A text starts after an end; words
+without a training count stand in the last class as context.
+
+Words are known by 63-bit hashes.  Null or empty text: one token, its end.  Without training texts every token is
+unknown.  A null doc_id counts as an empty one.  Repeated rows count as often as they stand there.  Other columns of docs
+are not read.
 """
 
 from __future__ import annotations
 
+import logging
+import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialise, pieces, python_ready, text_of
+from lodestar.llm.common import discard, materialise, pieces, python_ready, scratch, text_of
 
-TOP, GROUPS, CLASSES, ROUNDS, LEAST, WEIGHT, SMOOTH = 1 << 15, 1 << 10, 32, 6, 3, 0.8, 1.0
-END = np.int64(-1)  # stands for the end; words get non-negative hashes
+CLASSES, PASSES, SETTLED, WEIGHT, SMOOTH, SHARD_WORDS = 2.0, 4, 0.05, 0.8, 1.0, 200_000
+#: Entries that a shard's task adds up at once, and whose scores it holds at once.
+HELD, BLOCK = 4_000_000, 50_000
+SMALL = 16  # counts up to it have their gains in a table
+log = logging.getLogger(__name__)
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -53,215 +66,391 @@ def _held_out(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i in ids], bool)
 
 
-def count_words(source: DataFrame) -> DataFrame:
-    """word (hash), n over all training texts, each end included."""
+def bucket_of(numbers: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that Spark gives 64-bit numbers: their Murmur3 hash with seed 42, modulo."""
+    u = np.uint32
+    with np.errstate(over="ignore"):
+        turn = lambda x, r: x << u(r) | x >> u(32 - r)
+        raw, h = numbers.astype(np.int64).view(np.uint64), np.full(len(numbers), 42, u)
+        for k in (raw & np.uint64(0xFFFFFFFF), raw >> np.uint64(32)):
+            h = turn(h ^ turn(k.astype(u) * u(0xCC9E2D51), 15) * u(0x1B873593), 13) * u(5) + u(0xE6546B64)
+        h ^= u(8)
+        h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+        h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+        return (h ^ h >> u(16)).view(np.int32).astype(np.int64) % buckets
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-        def reduce() -> None:
-            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate(sums), len(k)).astype(np.int64)
-            keys[:], sums[:] = [k], [n]
+def _numbers(partition: int, buckets: int) -> Iterator[int]:
+    """Chunk numbers of a task, all of one bucket."""
+    first = partition << 36
+    while True:
+        some = np.arange(first, first + 64 * buckets)
+        yield from some[bucket_of(some, buckets) == partition % buckets].tolist()
+        first += 64 * buckets
 
-        for batch in batches:
-            for part in pieces(batch, "bc_text"):
-                part = part.filter(pa.array(~_held_out(part.column("doc_id").to_pylist())))
-                if part.num_rows:
-                    index, words, _ = _words(part.column("bc_text"))
-                    keys += [_hashes(words), np.array([END])]
-                    sums += [np.bincount(index, minlength=len(words)), np.array([part.num_rows])]
-                if sum(map(len, keys)) > 2_000_000:
-                    reduce()
-                    if len(keys[0]) > 1_500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(sums[0])], ["word", "n"])
-                        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        reduce()
-        for i in range(0, len(keys[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0][i : i + 100_000]), pa.array(sums[0][i : i + 100_000])], ["word", "n"])
-
-    return source.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _frequent(counts: DataFrame, top: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the words with at least the smallest count (of a histogram's bins) that keeps to `top` words."""
-    bin_of = F.floor(F.log2("n") * 16)
-    total, limit = 0, None
-    for b, n in sorted(((r["b"], r["c"]) for r in counts.where("word >= 0").groupBy(bin_of.alias("b")).agg(F.count("*").alias("c")).collect()), reverse=True):
-        total += n
-        if total > top:
-            break
-        limit = b
-    if limit is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows = counts.where((F.col("word") >= 0) & (bin_of >= limit) & (F.col("n") >= least)).toPandas().sort_values("word")
-    return rows["word"].to_numpy(), rows["n"].to_numpy()
-
-
-def annotate(source: DataFrame, known: np.ndarray, groups: int) -> DataFrame:
-    """Each text as items (0: end, then the frequent words, then endings) and the hashes of its rarer words."""
+
+CHUNK = "chunk bigint, ids array<{id}>, held binary, lengths binary, flow binary, words binary, train binary, ends bigint, pairs bigint, low array<bigint>"
+
+
+def chunked(source: DataFrame, buckets: int) -> DataFrame:
+    """One row for some MB of text: doc ids, which are held out (bytes), tokens of each text (32 bits), the texts' tokens as
+    local numbers (32 bits; 0: end, else place in `words` plus 1), the words' sorted hashes (64 bits), training
+    counts by local number (32 bits), training texts, number of words, and the hashes in the lowest 1/256 of their range."""
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _numbers(TaskContext.get().partitionId(), buckets)
         for batch in batches:
             for part in pieces(batch, "bc_text"):
                 index, words, at = _words(part.column("bc_text"))
-                hashes = _hashes(words)
-                place = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-                frequent = known[place] == hashes if len(known) else np.zeros(len(words), bool)
-                ending = np.fromiter((zlib.crc32(w[-3:]) % groups for w in words), np.int64, len(words))
-                items = np.where(frequent, 1 + place, 1 + len(known) + ending)[index].astype(np.uint32)
-                rare = ~frequent[index]
-                rare_at, rare_hash = np.concatenate([[0], np.cumsum(rare)])[at], hashes[index][rare]
-                texts = [items[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)]
-                rares = [rare_hash[rare_at[i] : rare_at[i + 1]].tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_held_out(part.column("doc_id").to_pylist())), pa.array(texts, pa.binary()), pa.array(rares, pa.binary())], ["doc_id", "held_out", "items", "rare"])
-
-    return source.mapInArrow(run, f"doc_id {id_type}, held_out boolean, items binary, rare binary").withColumn("row", F.monotonically_increasing_id())
-
-
-def contexts(texts: DataFrame, classes: np.ndarray, width: int) -> np.ndarray:
-    """Of each item, over all training texts: counts of the classes after it, then of those before it."""
-    spark, size = texts.sparkSession, len(classes)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * 2 * width, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                end = np.zeros(1, np.uint32).tobytes()
-                flow = np.frombuffer(end + end.join(batch.column("items").to_pylist()) + end, np.uint32).astype(np.int64)
-                before, after = flow[:-1], flow[1:]
-                total += np.bincount(before * (2 * width) + classes[after], minlength=len(total))
-                total += np.bincount(after * (2 * width) + width + classes[before], minlength=len(total))
-        total = total.reshape(size, -1)
-        used = np.flatnonzero(total.any(axis=1))
-        for i in range(0, len(used), 5000):
-            part = used[i : i + 5000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([r.tobytes() for r in total[part]], pa.binary())], ["item", "counts"])
+                known, local = np.unique(_hashes(words), return_inverse=True)
+                lengths = np.diff(at) + 1
+                flow = np.zeros(len(index) + part.num_rows, np.uint32)
+                inside = np.ones(len(flow), bool)
+                inside[np.cumsum(lengths) - 1] = False
+                flow[inside] = 1 + local[index]
+                held = _held_out(part.column("doc_id").to_pylist())
+                train = np.bincount(flow[np.repeat(~held, lengths)], minlength=len(known) + 1)
+                ids = part.column("doc_id")
+                row = {
+                    "chunk": pa.array([next(numbers)], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "held": [held.tobytes()], "lengths": [lengths.astype(np.uint32).tobytes()],
+                    "flow": [flow.tobytes()], "words": [known.tobytes()], "train": [train.astype(np.uint32).tobytes()], "ends": pa.array([train[0]], pa.int64()), "pairs": pa.array([len(known)], pa.int64()),
+                    "low": pa.array([known[known < 1 << 55]], pa.list_(pa.int64())),
+                }
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.binary()) for x in row.values()], list(row))
+
+    return source.mapInArrow(run, CHUNK.format(id=id_type))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        yield from (dict(zip(batch.schema.names, row, strict=True)) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+
+
+def _cuts(words: np.ndarray, bits: int) -> np.ndarray:
+    """Where each shard's words begin and end; a shard is the value of a hash's top `bits` of 63."""
+    return np.append(np.searchsorted(words, np.arange(1 << bits, dtype=np.int64) << 63 - bits), len(words))
+
+
+def _sharded(rows: DataFrame) -> DataFrame:
+    return rows.repartition("shard").sortWithinPartitions("shard")
+
+
+def _add(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and the sums of each."""
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, sums, len(keys)).astype(np.int64)
+
+
+def tally(chunks: DataFrame, bits: int) -> DataFrame:
+    """shard, words (sorted hashes), n (64-bit training counts, over 0)."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, n = np.frombuffer(row["words"], np.int64), np.frombuffer(row["train"], np.uint32)[1:]
+            words, n = words[n > 0], n[n > 0].astype(np.int64)
+            cuts = _cuts(words, bits)
+            use = np.flatnonzero(np.diff(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(use, pa.int64()), pa.array([words[cuts[s] : cuts[s + 1]].tobytes() for s in use], pa.binary()), pa.array([n[cuts[s] : cuts[s + 1]].tobytes() for s in use], pa.binary())], ["shard", "words", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if batch.num_rows:
-                item, inverse = np.unique(batch.column("item").to_numpy(), return_inverse=True)
-                rows = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int64).reshape(batch.num_rows, -1)
-                part = np.zeros((len(item), rows.shape[1]), np.int64)
-                np.add.at(part, inverse, rows)
-                for k, r in zip(item.tolist(), part, strict=True):
-                    sums[k] = sums[k] + r if k in sums else r
-        keys = sorted(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([sums[k].tobytes() for k in keys], pa.binary())], ["item", "counts"])
-
-    out = np.zeros((size, 2 * width), np.int64)
-    parts = max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    for r in texts.where("not held_out").select("items").mapInArrow(count, "item bigint, counts binary").repartition(parts, "item").mapInArrow(add, "item bigint, counts binary").collect():
-        out[r["item"]] = np.frombuffer(r["counts"], np.int64)
+        for shard, rows in groupby(_rows(batches), lambda r: r["shard"]):
+            words, n, waiting = [], [], 0
+            for row in rows:
+                words.append(np.frombuffer(row["words"], np.int64))
+                n.append(np.frombuffer(row["n"], np.int64))
+                waiting += len(words[-1])
+                if waiting > HELD:
+                    words, n, waiting = *([x] for x in _add(np.concatenate(words), np.concatenate(n))), 0
+            words, n = _add(np.concatenate(words), np.concatenate(n))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([words.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([n.sum()], pa.int64())], ["shard", "words", "n", "v", "total"])
+
+    sent = chunks.select("words", "train").mapInArrow(send, "shard bigint, words binary, n binary")
+    return _sharded(sent).mapInArrow(add, "shard bigint, words binary, n binary, v bigint, total bigint")
+
+
+def _frequent(counts: DataFrame, most: int) -> dict[int, int]:
+    """The `most` words of the largest counts, in that order, with 1, 2, 3, ..."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, n = np.frombuffer(row["words"], np.int64), np.frombuffer(row["n"], np.int64)
+            use = np.lexsort((words, -n))[:most]
+            yield pa.RecordBatch.from_arrays([pa.array(words[use]), pa.array(n[use])], ["word", "n"])
+
+    rows = counts.select("words", "n").mapInArrow(best, "word bigint, n bigint").orderBy(F.desc("n"), "word").limit(most).collect()
+    return {r["word"]: i + 1 for i, r in enumerate(rows)}
+
+
+def answer(chunks: DataFrame, state: DataFrame, bits: int, value: np.dtype, missing: int, shards: tuple[int, int] = (0, 1)) -> DataFrame:
+    """chunk, shard, values: of each word of the chunk in the shards `shards` (remainder, divisor), in the order of hashes.
+    state: shard, words, values.  A shard's state comes first, so the chunks' questions stream past it."""
+    remainder, divisor = shards
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words = np.frombuffer(row["words"], np.int64)
+            cuts = _cuts(words, bits)
+            use = [s for s in np.flatnonzero(np.diff(cuts)).tolist() if s % divisor == remainder]
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(use), pa.int64()), pa.array(use, pa.int64()), pa.array([words[cuts[s] : cuts[s + 1]].tobytes() for s in use], pa.binary())], ["chunk", "shard", "words"])
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, known, values = None, np.zeros(0, np.int64), np.zeros(0, value)
+        for row in _rows(batches):
+            if row["shard"] != shard:
+                shard, known, values = row["shard"], np.zeros(0, np.int64), np.zeros(0, value)
+            words = np.frombuffer(row["words"], np.int64)
+            if row["values"] is not None:
+                known, values = words, np.frombuffer(row["values"], value)
+                continue
+            out = np.full(len(words), missing, value)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                out = np.where(known[at] == words, values[at], out).astype(value)
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([shard], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["chunk", "shard", "values"])
+
+    asked = chunks.select("chunk", "words").mapInArrow(ask, "chunk bigint, shard bigint, words binary").withColumn("values", F.lit(None).cast("binary"))
+    told = state.select(F.lit(-1).cast("long").alias("chunk"), "shard", "words", "values")
+    both = told.unionByName(asked).repartition("shard").sortWithinPartitions("shard", F.col("values").isNull())
+    return both.mapInArrow(reply, "chunk bigint, shard bigint, values binary")
+
+
+def _told(chunks: DataFrame, buckets: int, **answers: DataFrame | None) -> DataFrame:
+    """chunks with the answers for each, as arrays of (shard, values); the chunks stay where they are."""
+    for name, rows in answers.items():
+        if rows is None:
+            chunks = chunks.withColumn(name, F.array().cast("array<struct<shard:bigint,values:binary>>"))
+        else:
+            lists = rows.repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("shard", "values")).alias(name))
+            chunks = chunks.join(lists.hint("shuffle_hash"), "chunk", "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<shard:bigint,values:binary>>")))
+    return chunks
+
+
+def _values(row: dict, name: str, words: np.ndarray, bits: int, default: np.ndarray) -> np.ndarray:
+    """Values by local number; 0 is the end."""
+    out, cuts = default.copy(), _cuts(words, bits)
+    for part in row[name]:
+        own = np.frombuffer(part["values"], default.dtype)
+        out[1 + cuts[part["shard"]] : 1 + cuts[part["shard"] + 1]] = own
+    return out
+
+
+def _first_classes(words: np.ndarray, frequent: dict[int, int], width: int) -> np.ndarray:
+    """Where exchange starts: the most frequent words have a class each, all others the last one."""
+    out = np.full(len(words) + 1, width - 1, np.uint16)
+    out[0] = 0
+    if frequent and len(words):
+        top = np.array(sorted(frequent), np.int64)
+        at = np.searchsorted(words, top)
+        hit = (at < len(words)) & (words[np.minimum(at, len(words) - 1)] == top)
+        out[1 + at[hit]] = [frequent[w] for w in top[hit].tolist()]
     return out
 
 
+def contexts(told: DataFrame, frequent: dict[int, int], width: int, bits: int, shards: tuple[int, int]) -> DataFrame:
+    """Of each chunk and shard to move: the words, their classes, and the counts of classes after them (code: class) and before
+    them (code: width + class), word by word.  Shard -1 has the chunk's class-by-class counts instead."""
+    code = np.uint8 if 2 * width <= 256 else np.uint16
+    remainder, divisor = shards
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words = np.frombuffer(row["words"], np.int64)
+            classes = _values(row, "classes", words, bits, _first_classes(words, frequent, width)).astype(np.int64)
+            flow, held, lengths = np.frombuffer(row["flow"], np.uint32).astype(np.int64), np.frombuffer(row["held"], bool), np.frombuffer(row["lengths"], np.uint32)
+            use = np.repeat(~held, lengths)
+            before, after = np.concatenate([[0], flow[:-1]])[use], flow[use]
+            out: list[tuple] = [(-1, b"", b"", b"", b"", np.bincount(classes[before] * width + classes[after], minlength=width * width).tobytes(), b"")]
+            cuts, place = _cuts(words, bits), np.full(len(words) + 1, -1)
+            moving = [s for s in np.flatnonzero(np.diff(cuts)).tolist() if s % divisor == remainder]
+            chosen = np.concatenate([np.zeros(0, np.int64), *(np.arange(cuts[s], cuts[s + 1]) for s in moving)])
+            place[1 + chosen] = np.arange(len(chosen))
+            total = np.zeros(len(chosen) * 2 * width, np.int64)
+            for own, other, shift in ((before, after, 0), (after, before, width)):
+                at = place[own]
+                total += np.bincount(at[at >= 0] * (2 * width) + shift + classes[other[at >= 0]], minlength=len(total))
+            full = np.flatnonzero(total)
+            n, entries = total[full], np.bincount(full // (2 * width), minlength=len(chosen)) if len(chosen) else np.zeros(0, np.int64)
+            codes = (full % (2 * width)).astype(code)
+            del total
+            ends, done = np.concatenate([[0], np.cumsum(entries)]), 0
+            for s in moving:
+                own = slice(done, done + cuts[s + 1] - cuts[s])
+                done = own.stop
+                seen = np.flatnonzero(entries[own])  # words of held-out texts alone have no entries
+                if len(seen):
+                    part = slice(ends[own.start], ends[own.stop])
+                    large = np.flatnonzero(n[part] > 254)
+                    out.append((s, words[cuts[s] : cuts[s + 1]][seen].tobytes(), classes[1 + cuts[s] : 1 + cuts[s + 1]][seen].astype(np.uint16).tobytes(), entries[own][seen].astype(np.uint16).tobytes(), codes[part].tobytes(), np.minimum(n[part], 255).astype(np.uint8).tobytes(), n[part][large].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 7))], ["shard", "words", "classes", "entries", "codes", "n", "large"])
+
+    return told.select("words", "flow", "held", "lengths", "classes").mapInArrow(run, "shard bigint, words binary, classes binary, entries binary, codes binary, n binary, large binary")
+
+
 def _gain(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(table: np.ndarray, classes: np.ndarray, turn: int, width: int) -> np.ndarray:
-    """Classes after every second item has moved to the class of the largest likelihood; 0 is the end's own."""
-    after, before = table[:, :width].astype(np.float64), table[:, width:].astype(np.float64)
-    bigram = np.zeros((width, width))
-    np.add.at(bigram, classes, after)
+def best_classes(owner: np.ndarray, codes: np.ndarray, n: np.ndarray, classes: np.ndarray, bigram: np.ndarray) -> np.ndarray:
+    """The class of each word that raises the likelihood most, all other words staying; 0 is the end's own.
+
+    owner: sorted word numbers 0.. of the entries; codes: class after, or width + class before; n: how often.
+    """
+    width = len(bigram)
+    sides = np.concatenate([bigram, bigram.T], axis=1)  # class k: counts of what comes after, and before
     left, right = bigram.sum(axis=1), bigram.sum(axis=0)
-    new = classes.copy()
-    movable = np.flatnonzero((np.arange(len(classes)) % 2 == turn % 2) & (table.sum(axis=1) > 0))
-    for chunk in np.array_split(movable[movable > 0], max(1, len(movable) // 256, min(len(movable), 32))):
-        if not len(chunk):
-            continue
-        s, p, own = after[chunk], before[chunk], classes[chunk]
-        score = np.zeros((len(chunk), width))
-        for k in range(1, width):
-            stays = (own == k)[:, None]
-            row, column = bigram[k][None, :] - stays * s, bigram[:, k][None, :] - stays * p
-            l_, r_ = left[k] - stays[:, 0] * s.sum(axis=1), right[k] - stays[:, 0] * p.sum(axis=1)
-            row, column, l_, r_ = (np.maximum(x, 0) for x in (row, column, l_, r_))
-            score[:, k] = (_gain(row + s) - _gain(row)).sum(axis=1) + (_gain(column + p) - _gain(column)).sum(axis=1) - _gain(l_ + s.sum(axis=1)) + _gain(l_) - _gain(r_ + p.sum(axis=1)) + _gain(r_)
+    table = np.stack([(_gain(sides + s) - _gain(sides)).T for s in range(SMALL + 1)]).astype(np.float32)  # count, code, class
+    out, after = classes.copy(), codes < width
+    starts = np.searchsorted(owner, np.arange(len(classes) + 1))
+    first = 0
+    while first < len(classes):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + BLOCK, side="right")) - 1)
+        a, b = starts[first], starts[last]
+        c, k, who = codes[a:b].astype(np.int64), n[a:b].astype(np.float64), owner[a:b] - first
+        own = classes[first:last].astype(np.int64)
+        gains = table[np.minimum(n[a:b], SMALL), c]
+        for i in np.array_split(np.flatnonzero(n[a:b] > SMALL), max(1, (b - a) // 10_000)):
+            gains[i] = _gain(sides.T[c[i]] + k[i][:, None]) - _gain(sides.T[c[i]])
+        full = np.flatnonzero(np.diff(starts[first : last + 1]))
+        score = np.zeros((last - first, width))
+        score[full] = np.add.reduceat(gains, starts[first + full] - a, axis=0)
+        s = np.bincount(who, np.where(after[a:b], k, 0), last - first)
+        p = np.bincount(who, np.where(after[a:b], 0, k), last - first)
+        score -= _gain(left[None, :] + s[:, None]) - _gain(left)[None, :] + _gain(right[None, :] + p[:, None]) - _gain(right)[None, :]
+        held = sides[own[who], c]
+        stay = np.bincount(who, _gain(held) - _gain(np.maximum(held - k, 0)), last - first)
+        stay -= _gain(left[own]) - _gain(np.maximum(left[own] - s, 0)) + _gain(right[own]) - _gain(np.maximum(right[own] - p, 0))
+        score[np.arange(last - first), own] = stay + 1e-6  # ties stay
         score[:, 0] = -np.inf
-        new[chunk] = to = score.argmax(axis=1)
-        np.add.at(bigram, own, -s)
-        np.add.at(bigram, to, s)
-        np.add.at(bigram.T, own, -p)
-        np.add.at(bigram.T, to, p)
-        np.maximum(bigram, 0, out=bigram)
-        left, right = bigram.sum(axis=1), bigram.sum(axis=0)
-    return new
-
-
-def score(docs: DataFrame, top: int = TOP, groups: int = GROUPS, width: int = CLASSES, rounds: int = ROUNDS, weight: float = WEIGHT, smooth: float = SMOOTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    python_ready(docs.sparkSession)
-    source = docs.select("doc_id", text_of().alias("bc_text"))
-    counts = materialise(count_words(source), "counts")
-    known, known_n = _frequent(counts, top, LEAST)
-    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") < 0, F.col("n"))).alias("ends")).first()
-    tokens, types, ends = sums["n"] or 0, sums["v"], sums["ends"] or 0
-    texts = materialise(annotate(source, known, groups), "items")
-
-    size = 1 + len(known) + groups
-    classes = np.full(size, width - 1)  # the most frequent words start with a class each, so that contexts differ
-    order = np.argsort(-known_n, kind="stable")[: width - 2]
-    classes[1 + order] = 1 + np.arange(len(order))
-    classes[0] = 0
-    for turn in range(rounds):
-        classes = exchange(contexts(texts, classes, width), classes, turn, width)
-    table = contexts(texts, classes, width)
-    bigram = np.zeros((width, width))
-    np.add.at(bigram, classes, table[:, :width].astype(np.float64))
+        out[first:last] = score.argmax(axis=1)
+        first = last
+    return out
+
+
+def exchange(sent: DataFrame, bigram: np.ndarray) -> DataFrame:
+    """shard, words, values: the classes of the words of the moved shards."""
+    width = len(bigram)
+    code = np.uint8 if 2 * width <= 256 else np.uint16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in groupby(_rows(batches), lambda r: r["shard"]):
+            words, classes = np.zeros(0, np.int64), np.zeros(0, np.uint16)
+            keys, sums, waiting, parts = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, []
+
+            def reduce() -> None:
+                nonlocal words, classes, keys, sums, waiting, parts
+                known, at = np.unique(np.concatenate([words, *(x[0] for x in parts)]), return_index=True)
+                own = np.concatenate([classes, *(x[1] for x in parts)])[at]
+                moved = [np.searchsorted(known, words)[keys // (2 * width)] * (2 * width) + keys % (2 * width)]
+                moved += [np.repeat(np.searchsorted(known, w), e) * (2 * width) + c for w, _, e, c, _ in parts]
+                keys, sums = _add(np.concatenate(moved), np.concatenate([sums, *(x[4] for x in parts)]))
+                words, classes, waiting, parts = known, own, 0, []
+
+            for row in rows:
+                n = np.frombuffer(row["n"], np.uint8).astype(np.int64)
+                n[n == 255] = np.frombuffer(row["large"], np.int64)
+                parts.append((np.frombuffer(row["words"], np.int64), np.frombuffer(row["classes"], np.uint16), np.frombuffer(row["entries"], np.uint16), np.frombuffer(row["codes"], code).astype(np.int64), n))
+                waiting += len(n)
+                if waiting > HELD:
+                    reduce()
+            reduce()
+            out = best_classes(keys // (2 * width), keys % (2 * width), sums, classes, bigram)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([words.tobytes()], pa.binary()), pa.array([out.astype(np.uint16).tobytes()], pa.binary())], ["shard", "words", "values"])
+
+    return _sharded(sent.where("shard >= 0")).mapInArrow(run, "shard bigint, words binary, values binary")
+
+
+def _matrix(sent: DataFrame, width: int) -> np.ndarray:
+    """The class-by-class counts of all chunks."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width * width, np.int64)
+        for row in _rows(batches):
+            total += np.frombuffer(row["codes"], np.int64)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], ["cell", "n"])
+
+    cells = sent.where("shard = -1").select(F.col("n").alias("codes")).mapInArrow(add, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(width * width)
+    for r in cells:
+        out[r["cell"]] = r["n"]
+    return out.reshape(width, width)
+
+
+def information(bigram: np.ndarray) -> float:
+    """Mutual information of neighbouring classes, in nats a token."""
+    total = max(bigram.sum(), 1)
+    return float((_gain(bigram).sum() - _gain(bigram.sum(axis=1)).sum() - _gain(bigram.sum(axis=0)).sum()) / total + np.log(total))
+
+
+def transitions(bigram: np.ndarray, smooth: float) -> tuple[np.ndarray, np.ndarray]:
+    """P(class after | class before), a row for each class before, and the tokens of each class."""
     in_class = bigram.sum(axis=0)
     share = in_class / max(in_class.sum(), 1)
-    move = (bigram + smooth * share[None, :]) / (bigram.sum(axis=1, keepdims=True) + smooth)
-    factor = weight * move / np.maximum(in_class, 1)[None, :]  # times the word's count
-    own = np.concatenate([[ends], known_n, np.zeros(groups)])
-    base = 1 / (tokens + types + 1)
-    id_type = source.schema["doc_id"].dataType.simpleString()
+    return (bigram + smooth * share[None, :]) / (bigram.sum(axis=1, keepdims=True) + smooth), in_class
 
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                n, seen, plain, model = [], [], [], []
-                for raw in batch.column("items").to_pylist():
-                    item = np.append(np.frombuffer(raw, np.uint32).astype(np.int64), 0)
-                    n.append(len(item))
-                    before = classes[np.concatenate([[0], item[:-1]])]
-                    use = item <= len(known)
-                    c = own[item[use]]
-                    seen.append(int((c > 0).sum()))
-                    plain.append(float(np.log10((c + 1) * base).sum()))
-                    model.append(float(np.log10(factor[before[use], classes[item[use]]] * c + (1 - weight) * (c + 1) * base).sum()))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(plain), pa.array(model)], ["row", "doc_id", "held_out", "n_tokens", "seen", "plain", "model"])
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                rows, words, factors = [], [], []
-                for row, raw, hashes in zip(batch.column("row").to_pylist(), batch.column("items").to_pylist(), batch.column("rare").to_pylist(), strict=True):
-                    item = np.frombuffer(raw, np.uint32).astype(np.int64)
-                    at = np.flatnonzero(item > len(known))
-                    before = classes[np.where(at > 0, item[at - 1], 0)] if len(at) else at
-                    rows.append(np.full(len(at), row))
-                    words.append(np.frombuffer(hashes, np.int64))
-                    factors.append(factor[before, classes[item[at]]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, words, factors)], ["row", "word", "factor"])
-
-    head = texts.select("row", "doc_id", "held_out", "items").mapInArrow(frequent, f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, seen bigint, plain double, model double")
-    tail = texts.select("row", "items", "rare").mapInArrow(rare, "row bigint, word bigint, factor double").join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    tail = tail.groupBy("row").agg(
-        F.count(F.when(F.col("n") > 0, 1)).alias("t_seen"),
-        F.sum(F.log10((F.col("n") + 1) * F.lit(base))).alias("t_plain"),
-        F.sum(F.log10(F.col("factor") * F.col("n") + F.lit((1 - weight) * base) * (F.col("n") + 1))).alias("t_model"),
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    out = head.join(tail, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("seen") + F.coalesce("t_seen", F.lit(0))).alias("n_known"),
-        F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("plain") + zero("t_plain")).alias("base_score"),
-        (F.col("model") + zero("t_model")).alias("score"),
-    )
+
+def score(docs: DataFrame, width: int | None = None, passes: int = PASSES, weight: float = WEIGHT, smooth: float = SMOOTH) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.  width: number of classes, from the
+    vocabulary unless given."""
+    spark = docs.sparkSession
+    python_ready(spark)
+    source = docs.select("doc_id", text_of().alias("bc_text"))
+    id_type = source.schema["doc_id"].dataType.simpleString()
+    buckets = max(1, min(source.rdd.getNumPartitions(), 50_000))
+    name = f"lodestar_chunks_{uuid.uuid4().hex}"
+    chunked(source, buckets).write.bucketBy(buckets, "chunk").option("path", scratch(spark, "chunks")).option("compression", "zstd").saveAsTable(name)
+    chunks = spark.table(name)
+    try:
+        low = chunks.select(F.explode("low").alias("w")).agg(F.count_distinct("w")).first()[0]
+        bits = max(3, int(np.ceil(np.log2(max(1, low * 256 / SHARD_WORDS)))))
+        counts = materialise(tally(chunks, bits), "counts")
+        sums = counts.agg(F.sum("total").alias("n"), F.sum("v").alias("v")).first()
+        ends = chunks.agg(F.sum("ends")).first()[0] or 0
+        tokens, types = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
+        width = width or max(4, round(CLASSES * types**0.25))
+        frequent = _frequent(counts, width - 2)
+
+        answers: dict[int, DataFrame] = {}
+        gathered = lambda: answers[0].unionByName(answers[1]) if len(answers) == 2 else answers.get(0)
+        history: list[float] = []
+        for turn in range(2 * passes + 1):
+            half = (turn % 2, 2)
+            sent = materialise(contexts(_told(chunks, buckets, classes=gathered()), frequent, width, bits, half), "contexts")
+            bigram = _matrix(sent, width)
+            history.append(information(bigram))
+            log.info("half pass %d: %d classes, mutual information %.4f", turn, width, history[-1])
+            if turn == 2 * passes or turn > 2 and history[-1] - history[-3] <= SETTLED * abs(history[-1]):
+                break
+            state = materialise(exchange(sent, bigram), "classes")
+            discard(sent)
+            answers[turn % 2] = materialise(answer(chunks, state, bits, np.dtype(np.uint16), width - 1, half), "answers")
+
+        move, in_class = transitions(bigram, smooth)
+        factor = weight * move / np.maximum(in_class, 1)[None, :]  # times the word's count
+        base = 1 / (tokens + types + 1)
+        told = _told(chunks, buckets, classes=gathered(), counts=answer(chunks, counts.select("shard", "words", F.col("n").alias("values")), bits, np.dtype(np.int64), 0))
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = _rows([batch.select(["words", "flow", "held", "lengths", "classes", "counts"])])
+                for i, row in enumerate(rows):
+                    words = np.frombuffer(row["words"], np.int64)
+                    classes = _values(row, "classes", words, bits, _first_classes(words, frequent, width)).astype(np.int64)
+                    n = _values(row, "counts", words, bits, np.zeros(len(words) + 1, np.int64))
+                    n[0] = ends
+                    flow, lengths = np.frombuffer(row["flow"], np.uint32), np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
+                    at, after = np.cumsum(lengths) - lengths, classes[flow]
+                    before = np.concatenate([[0], after[:-1]])  # the first of each text follows an end
+                    plain = np.log10((n + 1) * base)
+                    model = np.log10(factor[before, after] * n[flow] + ((1 - weight) * base * (n + 1))[flow])
+                    sums = [np.add.reduceat(x, at) for x in ((n > 0).astype(np.int64)[flow], plain[flow], model)]
+                    yield pa.RecordBatch.from_arrays([batch.column("ids")[i].values, pa.array(np.frombuffer(row["held"], bool)), pa.array(lengths), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+        judged = told.select("ids", "words", "flow", "held", "lengths", "classes", "counts").mapInArrow(judge, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+        out = materialise(judged, "scores")
+    finally:
+        discard(chunks)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    out = out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
