@@ -4,6 +4,8 @@ A text is cut before every single space that has a non-space on both sides, and
 a match of the split pattern always starts there, so the parts can be encoded apart.  Each distinct part of a
 batch is encoded once (by the library's pre-tokenizer and model) and kept in a bounded cache of the worker;
 the ids of whole texts are then gathered with numpy.  Texts with other white space are cut by a regular expression.
+That holds for the split pattern PATTERN only; with any other, and for texts that hold an added token's string (which the
+library cuts out first, by default), whole texts go through the library.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pyarrow.compute as pc
 #: Words that a Python worker keeps in each of two generations, some 200 bytes each; words in use move to the newer one.
 CACHE_WORDS = 450_000
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+# Fixed value: the split pattern of the byte-level vocabularies, for which the cuts are safe.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=1)
@@ -64,8 +68,10 @@ def tokenizer_of_ranks(path: str, pattern: str):
 
 
 class ByteBpe:
-    def __init__(self, tokenizer):
-        self.tokenizer, self.model, self.split = tokenizer, tokenizer.model, tokenizer.pre_tokenizer
+    def __init__(self, tokenizer, apart: bool):
+        """apart: texts may be cut at safe places, as PATTERN splits them."""
+        self.tokenizer, self.model, self.split, self.apart = tokenizer, tokenizer.model, tokenizer.pre_tokenizer, apart
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.from_byte = {b: c for b, c in enumerate(byte_chars())}
         self.kept: dict[bool, list[dict[str, bytes]]] = {True: [{}, {}], False: [{}, {}]}
         self.signs: dict[str, bytes] = {}
@@ -116,9 +122,16 @@ class ByteBpe:
         first, *rest = _SAFE_CUT.split(text)
         return np.frombuffer(b"".join([*self._many([first], False), *self._many(rest, True)]), np.uint32)
 
+    def encode_whole(self, text: str) -> np.ndarray:
+        """As the library does it, added tokens included."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's ids begin (one more entry than texts).  Null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = np.full(len(texts), not self.apart)
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
         at = np.asarray(lists.offsets, dtype=np.int64)
         coded = lists.flatten().dictionary_encode()
@@ -134,7 +147,7 @@ class ByteBpe:
         ends[at[1:] - 1] = True
         wrong = bad[index] | (feed & ends)  # a line feed at the end may belong to a longer run
         wrong[1:] |= feed[1:] & feed[:-1]
-        slow = np.add.reduceat(wrong.astype(np.int64), at[:-1]) > 0
+        slow = (np.add.reduceat(wrong.astype(np.int64), at[:-1]) > 0) | whole
         bare_index = np.unique(index[plain])
         bare_place = np.full(len(words), -1, np.int64)
         bare_place[bare_index] = np.arange(len(bare_index))
@@ -158,7 +171,7 @@ class ByteBpe:
         ids = flat[np.repeat(begin[code] - done[:-1], each) + np.arange(done[-1])]
         starts = done[at]
         if slow.any():
-            own = {i: self.encode_one(texts[i].as_py()) for i in np.flatnonzero(slow).tolist()}
+            own = {i: self.encode_whole(texts[i].as_py()) if whole[i] else self.encode_one(texts[i].as_py()) for i in np.flatnonzero(slow).tolist()}
             ids = np.concatenate([own.get(i, ids[starts[i] : starts[i + 1]]) for i in range(len(slow))])
             sizes = np.array([len(own[i]) if i in own else starts[i + 1] - starts[i] for i in range(len(slow))], np.int64)
             starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -193,9 +206,12 @@ class ByteBpe:
 def load(path: str, pattern: str | None = None) -> ByteBpe:
     """Of a tokenizers .json, or of a .tiktoken rank file with its pattern; once in each worker."""
     if path.endswith(".tiktoken"):
-        return ByteBpe(tokenizer_of_ranks(path, pattern))
+        return ByteBpe(tokenizer_of_ranks(path, pattern), pattern == PATTERN)
+    import json
+
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return ByteBpe(tokenizer)
+    state = json.loads(tokenizer.to_str())
+    split = state["pre_tokenizer"] or {}
+    return ByteBpe(tokenizer, state["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"])

@@ -70,7 +70,7 @@ def test_brown_base_scores(spark, odd, empty):
     counts = Counter(w for r, t in zip(rows, tokens, strict=True) if not held(r["doc_id"]) for w in t)
     total, kinds = sum(counts.values()), len(counts)
     want = sorted((held(r["doc_id"]), len(t), sum(counts[w] > 0 for w in t), total, round(sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in t), 6)) for r, t in zip(rows, tokens, strict=True))
-    got = op03_brown_classes.score(odd, rounds=2).collect()
+    got = op03_brown_classes.score(odd, passes=1).collect()
     assert sorted((r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
     assert op03_brown_classes.score(empty).count() == 0
@@ -82,18 +82,63 @@ def test_brown_classes_learn_order(spark):
 
     r = random.Random(3)
     texts = [(i, " ".join(f"{'ab'[k % 2]}{r.randint(0, 30)}" for k in range(60)), "en", "h", 1) for i in range(400)]
-    got = op03_brown_classes.score(spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars bigint"), rounds=8, width=5).where("held_out").toPandas()
+    got = op03_brown_classes.score(spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars bigint"), width=5).where("held_out").toPandas()
     assert (got["score"].sum() - got["base_score"].sum()) / got["n_tokens"].sum() > 0.15  # log10 2 is 0.30
 
 
 def test_brown_probabilities_sum_to_one():
+    """Over all words of a model with classes: P(w | before) sums to one but for the share of unknown words."""
     import numpy as np
 
-    table = np.random.default_rng(0).integers(0, 9, (40, 10))
-    classes = 1 + np.arange(40) % 4
-    classes[0] = 0
-    moved = op03_brown_classes.exchange(table, classes, 0, 5)
-    assert moved[0] == 0 and moved.min() >= 0 and moved.max() < 5 and (moved[1::2] == classes[1::2]).all()
+    r = np.random.default_rng(0)
+    flow = np.concatenate([[0], r.integers(0, 40, 3000), [0]])
+    classes = np.where(np.arange(40) > 0, 1 + np.arange(40) % 4, 0)
+    n, bigram = np.bincount(flow[1:], minlength=40), np.zeros((5, 5))
+    np.add.at(bigram, (classes[flow[:-1]], classes[flow[1:]]), 1)
+    move, in_class = op03_brown_classes.transitions(bigram, op03_brown_classes.SMOOTH)
+    total, weight = n.sum(), op03_brown_classes.WEIGHT
+    p = weight * move[:, classes] * n / in_class[classes] + (1 - weight) * (n + 1) / (total + 41)
+    assert np.allclose(move.sum(axis=1), 1) and np.allclose(p.sum(axis=1) + (1 - weight) / (total + 41), 1)
+
+
+def test_brown_exchange_against_brute_force():
+    """best_classes picks the class that a full recount says is best."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    width, size = 6, 25
+    words = np.concatenate([[0], r.integers(0, size, 4000), [0]])
+    words = words[np.append(True, words[1:] != words[:-1])]  # a word beside itself counts for both sides: left out
+    classes = np.where(np.arange(size) > 0, r.integers(1, width, size), 0)
+
+    def likelihood(c):
+        bigram = np.zeros((width, width))
+        np.add.at(bigram, (c[words[:-1]], c[words[1:]]), 1)
+        return bigram, sum(op03_brown_classes._gain(x).sum() * s for x, s in ((bigram, 1), (bigram.sum(axis=0), -1), (bigram.sum(axis=1), -1)))
+
+    bigram, _ = likelihood(classes)
+    counts = np.zeros((size, 2 * width), np.int64)
+    np.add.at(counts, (words[:-1], classes[words[1:]]), 1)
+    np.add.at(counts, (words[1:], width + classes[words[:-1]]), 1)
+    owner, codes = np.nonzero(counts)
+    got = op03_brown_classes.best_classes(owner, codes, counts[owner, codes], classes, bigram)
+    for w in range(1, size):
+        if got[w] != classes[w]:
+            moved = classes.copy()
+            moved[w] = got[w]
+            assert likelihood(moved)[1] > likelihood(classes)[1] - 30  # B's cross terms of a word's own move are left out
+    picked = [max(range(1, width), key=lambda k: likelihood(np.where(np.arange(size) == w, k, classes))[1]) for w in range(1, size)]
+    assert np.mean(np.array(picked) == got[1:]) > 0.9 and got[0] >= 0
+
+
+def test_brown_buckets_are_sparks(spark):
+    from pyspark.sql import functions as F
+
+    import numpy as np
+
+    numbers = np.array([0, 1, -1, 7 << 40, 2**62, -(2**63)] + list(range(500)), np.int64)
+    want = [r[0] for r in spark.createDataFrame([(int(x),) for x in numbers], "x bigint").select(F.pmod(F.hash("x"), F.lit(11))).collect()]
+    assert op03_brown_classes.bucket_of(numbers, 11).tolist() == want
 
 
 def test_token_counts(spark, odd, empty, tmp_path):
@@ -188,7 +233,6 @@ def test_packing(spark, odd, empty):
 
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     want = Counter()
     ids = {}
     for r in odd.collect():
