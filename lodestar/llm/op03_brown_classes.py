@@ -41,7 +41,6 @@ from lodestar.llm.common import discard, materialise, pieces, python_ready, scra
 CLASSES, PASSES, SETTLED, WEIGHT, SMOOTH, SHARD_WORDS = 2.0, 4, 0.05, 0.8, 1.0, 200_000
 #: Entries that a shard's task adds up at once, and whose scores it holds at once.
 HELD, BLOCK = 4_000_000, 50_000
-SMALL = 16  # counts up to it have their gains in a table
 log = logging.getLogger(__name__)
 
 
@@ -292,35 +291,27 @@ def _gain(x: np.ndarray) -> np.ndarray:
 
 
 def best_classes(owner: np.ndarray, codes: np.ndarray, n: np.ndarray, classes: np.ndarray, bigram: np.ndarray) -> np.ndarray:
-    """The class of each word that raises the likelihood most, all other words staying; 0 is the end's own.
+    """The class of each word that raises the likelihood most; 0 is the end's own, and empty classes stay empty.
 
+    As all words of a half pass move at once, gains are those of a small part of a word's tokens: the log probabilities of
+    its neighbours' classes given each class, which change only as far as classes do.  (Gains of whole words would
+    draw all of them into an empty class at once.)
     owner: sorted word numbers 0.. of the entries; codes: class after, or width + class before; n: how often.
     """
     width = len(bigram)
-    sides = np.concatenate([bigram, bigram.T], axis=1)  # class k: counts of what comes after, and before
-    left, right = bigram.sum(axis=1), bigram.sum(axis=0)
-    table = np.stack([(_gain(sides + s) - _gain(sides)).T for s in range(SMALL + 1)]).astype(np.float32)  # count, code, class
-    out, after = classes.copy(), codes < width
-    starts = np.searchsorted(owner, np.arange(len(classes) + 1))
-    first = 0
+    share = bigram.sum(axis=0) / max(bigram.sum(), 1)
+    beside = [np.log((x + share[None, :] + 1e-9) / (x.sum(axis=1, keepdims=True) + 1 + 1e-9 * width)) for x in (bigram, bigram.T)]
+    table = np.concatenate(beside, axis=1).T.astype(np.float32)  # code, class
+    closed = (bigram.sum(axis=1) + bigram.sum(axis=0)) == 0
+    out, starts, first = classes.copy(), np.searchsorted(owner, np.arange(len(classes) + 1)), 0
     while first < len(classes):
         last = max(first + 1, int(np.searchsorted(starts, starts[first] + BLOCK, side="right")) - 1)
         a, b = starts[first], starts[last]
-        c, k, who = codes[a:b].astype(np.int64), n[a:b].astype(np.float64), owner[a:b] - first
-        own = classes[first:last].astype(np.int64)
-        gains = table[np.minimum(n[a:b], SMALL), c]
-        for i in np.array_split(np.flatnonzero(n[a:b] > SMALL), max(1, (b - a) // 10_000)):
-            gains[i] = _gain(sides.T[c[i]] + k[i][:, None]) - _gain(sides.T[c[i]])
         full = np.flatnonzero(np.diff(starts[first : last + 1]))
         score = np.zeros((last - first, width))
-        score[full] = np.add.reduceat(gains, starts[first + full] - a, axis=0)
-        s = np.bincount(who, np.where(after[a:b], k, 0), last - first)
-        p = np.bincount(who, np.where(after[a:b], 0, k), last - first)
-        score -= _gain(left[None, :] + s[:, None]) - _gain(left)[None, :] + _gain(right[None, :] + p[:, None]) - _gain(right)[None, :]
-        held = sides[own[who], c]
-        stay = np.bincount(who, _gain(held) - _gain(np.maximum(held - k, 0)), last - first)
-        stay -= _gain(left[own]) - _gain(np.maximum(left[own] - s, 0)) + _gain(right[own]) - _gain(np.maximum(right[own] - p, 0))
-        score[np.arange(last - first), own] = stay + 1e-6  # ties stay
+        score[full] = np.add.reduceat(table[codes[a:b]] * n[a:b, None], starts[first + full] - a, axis=0, dtype=np.float64)
+        score[np.arange(last - first), classes[first:last]] += 1e-4  # ties stay
+        score[:, closed] = -np.inf
         score[:, 0] = -np.inf
         out[first:last] = score.argmax(axis=1)
         first = last
