@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -48,12 +47,6 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that have ended and that nothing holds any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def python_ready(spark: SparkSession) -> None:
     """Let Python workers import this package by name, and bound the bytes of one Arrow batch."""
     env = spark.sparkContext.environment

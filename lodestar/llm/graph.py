@@ -29,3 +29,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     discard(both)
     return labels
+
+
+def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components of an earlier result once `edges` (a, b) are added: only the graph of its labels is searched."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}"))
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = materialise(between.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")), "between")
+    moved = components(between.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("moved"))
+    new = between.select(F.col("a").alias("node")).unionByName(between.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti")
+    whole = labels.unionByName(new.withColumn("label", F.col("node")))
+    return materialise(whole.join(moved, "label", "left").select("node", F.coalesce("moved", "label").alias("label")), "labels")

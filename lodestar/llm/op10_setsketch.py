@@ -9,7 +9,8 @@
    best such pair is verified on the full sets, and verified links are joined into components.  So a large group of
    near copies collapses without its pairs.
 4. Buckets that still hold several components: pairs of members from different components are estimated in blocks
-   from longer sketches (WIDE registers, for nodes that share a bucket), a pair in the first bucket it shares only.
+   from longer sketches (WIDE registers, for nodes that share a bucket; of a coarser base, BASE ** COARSE, so that
+   one takes a byte), a pair in the first bucket it shares only.
    Each round verifies each member's likeliest partners, few at first, joins components, and drops what has become
    linked; the last round verifies every pair left that may reach the threshold.  So only pairs that do not
    link have to be tested one by one.
@@ -30,13 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialise, pieces, python_ready, release, text_of
-from lodestar.llm.graph import components
+from lodestar.llm.common import materialise, pieces, python_ready, text_of
+from lodestar.llm.graph import components, joined_components
 
 BASE, TOP, RATE = 1.001, (1 << 16) - 2, 20.0
 BANDS, ROWS, SALTS, BLOCK = 32, 4, 256, 1024
 #: A pair is verified if its estimate is no further below the threshold; about 5 standard errors of either sketch.
-SLACK, WIDE, WIDE_SLACK = 0.18, 512, 0.085
+SLACK, WIDE, WIDE_SLACK, COARSE = 0.18, 2048, 0.046, 182
 #: Partners of a member that a round verifies in each bucket; None: all.
 PARTNERS = (1, 8, None)
 #: Pairs whose short sketches a task compares at once.
@@ -106,19 +107,28 @@ def sketch(items: np.ndarray, registers: int) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
 
+def coarsened(registers: np.ndarray) -> np.ndarray:
+    """The registers of base BASE ** COARSE: floor(1 - y / c) from floor(1 - y) for a whole c; one byte holds them."""
+    return np.clip(1 + (registers.astype(np.int64) - 1) // COARSE, 0, 255).astype(np.uint8)
+
+
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of the union."""
     return np.maximum(a, b)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, grid: int = 101) -> np.ndarray:
+def _differs(x: np.ndarray, base: float) -> np.ndarray:
+    """Chance that a register is larger on one side, whose own share of the union is x."""
+    return -np.log1p(-np.clip(x, 0, 1) * (base - 1) / base) / np.log(base)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, grid: int = 101, base: float = BASE) -> np.ndarray:
     """Similarity of each row's two sets, by the joint likelihood of which registers are larger, smaller or equal."""
     more, less = (a > b).sum(axis=1)[:, None], (a < b).sum(axis=1)[:, None]
     same = a.shape[1] - more - less
     u, v = (na / (na + nb))[:, None], (nb / (na + nb))[:, None]
     j = np.linspace(0, 1, grid)[None, :] * np.minimum(u / v, v / u)
-    p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
-    up, down = np.maximum(p(u - v * j), 1e-12), np.maximum(p(v - u * j), 1e-12)
+    up, down = np.maximum(_differs(u - v * j, base), 1e-12), np.maximum(_differs(v - u * j, base), 1e-12)
     score = more * np.log(up) + less * np.log(down) + same * np.log(np.maximum(1 - up - down, 1e-12))
     return np.take_along_axis(j, score.argmax(axis=1)[:, None], axis=1)[:, 0]
 
@@ -164,11 +174,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def _likely(rows: pa.Table, threshold: float, partners: int | None) -> pa.RecordBatch:
     """Pairs of _crossing() from whole groups, whose rows stand together: all, or the `partners` likeliest of each row."""
     column = lambda name: rows.column(name).to_numpy()
-    wide = _matrix(rows.column("wide").combine_chunks())
+    raw = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint8).reshape(rows.num_rows, 2 * BANDS * ROWS + WIDE)
+    short, wide = np.ascontiguousarray(raw[:, : 2 * BANDS * ROWS]).view(np.uint16), raw[:, 2 * BANDS * ROWS :]
     n, label, part, node, band, within = map(column, ("n", "label", "part", "node", "band", "p"))
-    short, across = wide[:, : BANDS * ROWS], within != column("q")
+    across = within != column("q")
     starts = _starts(rows)
     ends = np.repeat(np.append(starts[1:], len(node)), np.diff(np.append(starts, len(node))))
+    # Registers that equal sizes have in common at the lowest similarity to verify, less what sizes and chance may take away.
+    least = 1 - 2 * float(_differs(np.float64((1 - threshold + WIDE_SLACK) / 2), BASE**COARSE)) - 0.04
     later = ends - np.arange(len(node)) - 1  # members of the group after each row
     total, found, i = np.cumsum(later), [], 0
     while i < len(node):
@@ -184,11 +197,11 @@ def _likely(rows: pa.Table, threshold: float, partners: int | None) -> pa.Record
         first = np.where(bands.any(axis=1), bands.argmax(axis=1), BANDS)  # pairs that an earlier band has brought together are that bucket's
         fresh = (first >= band[x]) & (same.mean(axis=1) >= threshold - SLACK - 0.05)  # equal registers are about the similarity; the likelihood decides
         x, y = x[fresh], y[fresh]
-        fresh = (wide[x] == wide[y]).mean(axis=1) >= threshold - WIDE_SLACK - 0.05
-        x, y = x[fresh], y[fresh]
-        for k in range(0, len(x), SLAB // 4):
-            u, v = x[k : k + SLAB // 4], y[k : k + SLAB // 4]
-            j = estimate(wide[u], wide[v], n[u], n[v])
+        for k in range(0, len(x), SLAB // 8):
+            u, v = x[k : k + SLAB // 8], y[k : k + SLAB // 8]
+            alike = (wide[u] == wide[v]).mean(axis=1) >= least
+            u, v = u[alike], v[alike]
+            j = estimate(wide[u], wide[v], n[u], n[v], 201, BASE**COARSE)
             near = j >= threshold - WIDE_SLACK
             found.append((u[near], v[near], j[near]))
     x, y, j = (np.concatenate(part) if found else np.zeros(0) for part in (zip(*found, strict=True) if found else ((), (), ())))
@@ -292,7 +305,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
         for batch in batches:
             for part in pieces(batch, "ss_text"):
                 made = shingle_sets(part.column("ss_text"), width)
-                raw, wide = [s.tobytes() for s in made], [sketch(s, WIDE).tobytes() if len(s) else None for s in made]
+                raw, wide = [s.tobytes() for s in made], []
+                for items_ in made:
+                    registers = sketch(items_, WIDE) if len(items_) else None
+                    wide.append(None if registers is None else registers[: BANDS * ROWS].tobytes() + coarsened(registers).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in raw]), pa.array(raw, pa.binary()), pa.array(wide, pa.binary())], ["digest", "items", "wide"])
 
     sets = texts.mapInArrow(items, "digest binary, items binary, wide binary").join(wanted.select("node", "digest"), "digest")
@@ -301,7 +317,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = materialise(_verified(best, sets, threshold), "links")
     labels = components(links)
-    release(docs.sparkSession)
     wide = sets.select("node", "wide", (F.octet_length("items") / 8).cast("bigint").alias("n"))
     for partners in PARTNERS:
         labelled = shared.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
@@ -311,9 +326,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
         tested = tested.unionByName(more)
         found = materialise(_verified(more, sets, threshold), "links")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
-        release(docs.sparkSession)
+            labels = joined_components(labels, found)
 
     of_node = nodes.select("node", "digest", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = of_node.groupBy("label").agg(F.min("least").alias("component_id"))
