@@ -11,7 +11,7 @@ from lodestar.functions.strings import col
 
 # What each specifier means as a pattern of Spark.
 STRFTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "j": "DDD", "B": "MMMM", "b": "MMM", "A": "EEEE", "a": "EEE", "p": "a", "I": "hh"}
-MYSQL = {"Y": "yyyy", "y": "yy", "m": "MM", "c": "M", "d": "dd", "e": "d", "H": "HH", "k": "H", "h": "hh", "i": "mm", "s": "ss", "S": "ss", "M": "MMMM", "b": "MMM", "W": "EEEE", "a": "EEE", "p": "a", "j": "DDD"}
+MYSQL = {"Y": "yyyy", "y": "yy", "m": "MM", "c": "M", "d": "dd", "e": "d", "H": "HH", "k": "H", "h": "hh", "I": "hh", "l": "h", "i": "mm", "s": "ss", "S": "ss", "M": "MMMM", "b": "MMM", "W": "EEEE", "a": "EEE", "p": "a", "j": "DDD"}
 
 
 def pattern(text: str, names: dict[str, str]) -> str:
@@ -157,3 +157,87 @@ def is_weekend(c: Column | str) -> Column:
 
 def age(born: Column | str, at: Column | str) -> Column:
     return F.floor(F.months_between(col(at), col(born)) / 12)
+
+
+def minute(c: Column | str) -> Column:
+    return F.minute(col(c))
+
+
+def second(c: Column | str) -> Column:
+    return F.second(col(c))
+
+
+def from_unix(c: Column | str) -> Column:
+    return F.timestamp_seconds(col(c))
+
+
+def parts(c: Column | str) -> Column:
+    """Struct of the calendar fields."""
+    t = col(c).cast("timestamp")
+    fields = {"year": F.year(t), "month": F.month(t), "day": F.dayofmonth(t), "hour": F.hour(t), "minute": F.minute(t), "second": F.second(t), "weekday": weekday(t), "yearday": F.dayofyear(t)}
+    return F.struct(*(v.cast("int").alias(k) for k, v in fields.items()))
+
+
+def compare(a: Column | str, b: Column | str) -> Column:
+    """-1, 0 or 1."""
+    x, y = col(a).cast("timestamp"), col(b).cast("timestamp")
+    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+
+
+def before(a: Column | str, b: Column | str) -> Column:
+    return compare(a, b) < 0
+
+
+def after(a: Column | str, b: Column | str) -> Column:
+    return compare(a, b) > 0
+
+
+def equal(a: Column | str, b: Column | str) -> Column:
+    return compare(a, b) == 0
+
+
+def between(c: Column | str, low: Column | str, high: Column | str) -> Column:
+    """Both ends count."""
+    return (compare(c, low) >= 0) & (compare(c, high) <= 0)
+
+
+def add(c: Column | str, n: int, unit: str) -> Column:
+    return modify(c, f"{n:+d} {unit.rstrip('s')}")
+
+
+def days_in_year(c: Column | str) -> Column:
+    return F.when(is_leap_year(c), 366).otherwise(365)
+
+
+def is_workday(c: Column | str) -> Column:
+    return ~is_weekend(c)
+
+
+def parse_duration(c: Column | str) -> Column:
+    """Seconds (double) of a text such as 1h30m, 250ms or -2.5s; NULL for anything else."""
+    scale = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
+    text = F.regexp_replace(col(c), "^[+-]", "")
+    pieces = F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]*)?|\.[0-9]+)(ns|us|µs|ms|s|m|h)"), F.lit(0))
+
+    def seconds(x: Column) -> Column:
+        unit = F.regexp_extract(x, r"[a-zµ]+$", 0)
+        factor = F.lit(1.0)
+        for name, value in scale.items():
+            factor = F.when(unit == name, value).otherwise(factor)
+        return F.regexp_extract(x, r"^[0-9.]+", 0).cast("double") * factor
+
+    total = F.aggregate(pieces, F.lit(0.0), lambda acc, x: acc + seconds(x))
+    good = text.rlike(r"^(?:(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:ns|us|µs|ms|s|m|h))+$")
+    return F.when(good, F.when(col(c).startswith("-"), -total).otherwise(total)).when(col(c).isin("0", "+0", "-0"), 0.0)
+
+
+def format_duration(c: Column | str) -> Column:
+    """Seconds as days, hours, minutes and seconds; 0s for none."""
+    n = col(c).cast("bigint")
+    fields = ((F.floor(n / 86400), "d"), (F.floor(n / 3600) % 24, "h"), (F.floor(n / 60) % 60, "m"), (n % 60, "s"))
+    text = F.concat_ws(" ", *(F.when(v > 0, F.concat(v.cast("bigint").cast("string"), F.lit(unit))) for v, unit in fields))
+    return F.when(n.isNotNull(), F.when(text == "", "0s").otherwise(text))
+
+
+def convert_timezone(c: Column | str, source: str, target: str) -> Column:
+    return F.convert_timezone(F.lit(source), F.lit(target), col(c).cast("timestamp_ntz"))

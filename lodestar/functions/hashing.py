@@ -83,6 +83,64 @@ def packed(kind: str, c: Column | str) -> Column:
 
     @F.pandas_udf("binary")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else make(bytes(v)))
+        def one(v):
+            try:
+                return None if v is None else make(bytes(v))
+            except (ValueError, OSError, EOFError, zlib.error):
+                return None  # one bad value is NULL, not the end of the job
+
+        return x.map(one)
 
     return run(col(c).cast("binary"))
+
+
+def encrypt(c: Column | str, key: str) -> Column:
+    """AES in GCM mode under a key of 16, 24 or 32 bytes, as base64."""
+    return F.base64(F.aes_encrypt(col(c), F.lit(key), F.lit("GCM")))
+
+
+def decrypt(c: Column | str, key: str) -> Column:
+    """NULL for what the key doesn't open."""
+    return F.decode(F.try_aes_decrypt(F.unbase64(col(c)), F.lit(key), F.lit("GCM")), "UTF-8")
+
+
+def uuid() -> Column:
+    return F.uuid()
+
+
+# Morse signs.
+MORSE = dict(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", ".- -... -.-. -.. . ..-. --. .... .. .--- -.- .-.. -- -. --- .--. --.- .-. ... - ..- ...- .-- -..- -.-- --.. ----- .---- ..--- ...-- ....- ..... -.... --... ---.. ----.".split(), strict=True))
+
+
+def text_code(kind: str, c: Column | str) -> Column:
+    """uuencode, uudecode, punycode, unpunycode, unicode_escape, unicode_unescape, js_escape, js_unescape, morse, unmorse over texts;
+    NULL for what cannot be decoded."""
+    import binascii
+    import json
+    import re
+
+    back = {v: k for k, v in MORSE.items()}
+    make = {
+        "uuencode": lambda s: "".join(binascii.b2a_uu(s.encode()[i : i + 45]).decode() for i in range(0, len(s.encode()), 45)),
+        "uudecode": lambda s: b"".join(binascii.a2b_uu(x) for x in s.split("\n") if x).decode(),
+        "punycode": lambda s: s.encode("punycode").decode(),
+        "unpunycode": lambda s: s.encode().decode("punycode"),
+        "unicode_escape": lambda s: "".join(ch if ord(ch) < 128 else f"\\u{ord(ch):04x}" for ch in s),
+        "unicode_unescape": lambda s: re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), s),
+        "js_escape": lambda s: json.dumps(s, ensure_ascii=False)[1:-1].replace("'", "\\'"),
+        "js_unescape": lambda s: json.loads('"' + s.replace("\\'", "'") + '"'),
+        "morse": lambda s: " ".join("/" if ch == " " else MORSE.get(ch, ch) for ch in s.upper()),
+        "unmorse": lambda s: "".join(" " if x == "/" else back.get(x, x) for x in s.split()),
+    }[kind]
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        def one(v):
+            try:
+                return None if v is None else make(v)
+            except (ValueError, binascii.Error):
+                return None
+
+        return x.map(one)
+
+    return run(col(c))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.strings import col
 
 MAP = "map<string,string>"
+MAP_VARIANT, LIST_VARIANT = "map<string,variant>", "array<variant>"
 
 
 def extract(c: Column | str, path: str) -> Column:
@@ -156,3 +157,83 @@ def _holds(a, b) -> bool:
 
 def contains(a: Column | str, b: Column | str) -> Column:
     return _deep(lambda x, y: _holds(json.loads(x), json.loads(y)), "boolean")(col(a), col(b))
+
+
+def pick(c: Column | str, *names: str) -> Column:
+    """Only those keys of a flat object, values as they stand; in the JVM."""
+    return F.to_json(F.map_filter(F.from_json(col(c), MAP_VARIANT), lambda k, _: k.isin(*names)))
+
+
+def omit(c: Column | str, *names: str) -> Column:
+    return F.to_json(F.map_filter(F.from_json(col(c), MAP_VARIANT), lambda k, _: ~k.isin(*names)))
+
+
+def parse(c: Column | str) -> Column:
+    """A variant; NULL for what isn't JSON."""
+    return F.try_parse_json(col(c))
+
+
+def values(c: Column | str) -> Column:
+    """JSON array of an object's values, in order of the keys."""
+    entries = F.array_sort(F.transform(F.map_keys(F.from_json(col(c), MAP_VARIANT)), lambda k: k))
+    return F.to_json(F.transform(entries, lambda k: F.element_at(F.from_json(col(c), MAP_VARIANT), k)))
+
+
+def merge(a: Column | str, b: Column | str) -> Column:
+    """Keys of both objects, those of b first; the values of common keys come from b whole."""
+    x, y = F.from_json(col(a), MAP_VARIANT), F.from_json(col(b), MAP_VARIANT)
+    left = F.map_filter(x, lambda k, _: ~F.array_contains(F.map_keys(y), k))
+    return F.to_json(F.map_concat(y, left))
+
+
+def _merged(a, b):
+    return {**a, **{k: _merged(a[k], v) if k in a else v for k, v in b.items()}} if isinstance(a, dict) and isinstance(b, dict) else b
+
+
+def deep_merge(a: Column | str, b: Column | str) -> Column:
+    return _deep(lambda x, y: _dump(_merged(json.loads(x), json.loads(y))))(col(a), col(b))
+
+
+def array_append(c: Column | str, *values_: Column) -> Column:
+    return F.to_json(F.concat(F.from_json(col(c), LIST_VARIANT), F.array(*map(_variant, values_))))
+
+
+def _variant(v: Column) -> Column:
+    """Any scalar as a variant, through its JSON text."""
+    text = F.to_json(F.array(v))
+    return F.parse_json(F.substring(text, 2, F.length(text) - 2))
+
+
+def array_prepend(c: Column | str, *values_: Column) -> Column:
+    return F.to_json(F.concat(F.array(*map(_variant, values_)), F.from_json(col(c), LIST_VARIANT)))
+
+
+def array_flatten(c: Column | str) -> Column:
+    """Arrays inside an array taken apart, at any depth."""
+
+    def flat(x) -> list:
+        return [z for y in x for z in (flat(y) if isinstance(y, list) else [y])]
+
+    return _deep(lambda text: _dump(flat(json.loads(text))))(col(c))
+
+
+def object_from_arrays(names: Column | str, values_: Column | str) -> Column:
+    return F.to_json(F.map_from_arrays(col(names), col(values_)))
+
+
+def minify(c: Column | str) -> Column:
+    """Without white space between signs; NULL for what isn't JSON.  Keys in order."""
+    return F.to_json(F.try_parse_json(col(c)))
+
+
+def pretty(c: Column | str, indent: int = 2) -> Column:
+    return _deep(lambda text: json.dumps(json.loads(text), indent=indent, ensure_ascii=False, sort_keys=True))(col(c))
+
+
+def transform_keys(c: Column | str, change) -> Column:
+    return F.to_json(F.transform_keys(F.from_json(col(c), MAP_VARIANT), lambda k, _: change(k)))
+
+
+def transform_values(c: Column | str, change) -> Column:
+    """change gets each value of a flat object as text."""
+    return F.to_json(F.transform_values(F.from_json(col(c), MAP), lambda _, v: change(v)))

@@ -93,3 +93,77 @@ def bounding_box(lat, lon, km: float) -> Column:
     d = F.degrees(F.lit(km / 6371.0))
     e = d / F.cos(F.radians(col(lat)))
     return F.struct((col(lat) - d).alias("min_lat"), (col(lat) + d).alias("max_lat"), (col(lon) - e).alias("min_lon"), (col(lon) + e).alias("max_lon"))
+
+
+def sinh(c: Column | str) -> Column:
+    return F.sinh(col(c))
+
+
+def cosh(c: Column | str) -> Column:
+    return F.cosh(col(c))
+
+
+def tanh(c: Column | str) -> Column:
+    return F.tanh(col(c))
+
+
+def log2(c: Column | str) -> Column:
+    return F.log2(col(c))
+
+
+def cbrt(c: Column | str) -> Column:
+    return F.cbrt(col(c))
+
+
+def hypot(a: Column | str, b: Column | str) -> Column:
+    return F.hypot(col(a), col(b))
+
+
+def div(a: Column | str, b: Column | str) -> Column:
+    """Quotient without its fraction, toward zero; NULL for a divisor of 0."""
+    x, y = col(a).cast("bigint"), col(b).cast("bigint")
+    return F.when(y != 0, F.call_function("div", x, F.when(y != 0, y)))
+
+
+def is_nan(c: Column | str) -> Column:
+    return F.isnan(col(c))
+
+
+def is_inf(c: Column | str) -> Column:
+    return F.abs(col(c)) == F.lit(float("inf"))
+
+
+def random_int(low: int, high: int, seed: int | None = None) -> Column:
+    """Whole numbers from low to high, both included."""
+    return (F.floor((F.rand(seed) if seed is not None else F.rand()) * (high - low + 1)) + low).cast("bigint")
+
+
+_GEOHASH = "0123456789bcdefghjkmnpqrstuvwxyz"  # fixed value: the digits of a geohash
+
+
+def geohash(lat: Column | str, lon: Column | str, length: int = 12) -> Column:
+    """Bits of longitude and latitude in turn, five to a digit."""
+    bits = 5 * length
+    wide, high = (bits + 1) // 2, bits // 2
+    cell = lambda c, span, n: F.least(F.greatest(F.floor((col(c).cast("double") + span) / (2 * span) * float(1 << n)), F.lit(0)), F.lit((1 << n) - 1)).cast("bigint")
+    x, y, out = cell(lon, 180.0, wide), cell(lat, 90.0, high), []
+    bit = lambda k: F.shiftright(x, wide - 1 - k // 2).bitwiseAND(F.lit(1)) if k % 2 == 0 else F.shiftright(y, high - 1 - k // 2).bitwiseAND(F.lit(1))
+    for d in range(length):
+        digit = sum((bit(5 * d + i) * (16 >> i) for i in range(1, 5)), bit(5 * d) * 16)
+        out.append(F.substring(F.lit(_GEOHASH), (digit + 1).cast("int"), F.lit(1)))
+    return F.concat(*out)
+
+
+def geohash_point(c: Column | str) -> Column:
+    """lat and lon of the middle of a cell."""
+    digits = F.transform(F.filter(F.split(F.lower(col(c)), ""), lambda x: x != ""), lambda x: F.instr(F.lit(_GEOHASH), x) - 1)
+    bits = F.flatten(F.transform(digits, lambda d: F.transform(F.array(*(F.lit(i) for i in (4, 3, 2, 1, 0))), lambda i: F.call_function("mod", F.floor(d / F.pow(F.lit(2.0), i)).cast("int"), F.lit(2)))))
+    start = F.struct(*(F.lit(v).alias(k) for k, v in (("a", -180.0), ("b", 180.0), ("c", -90.0), ("d", 90.0))), F.lit(True).alias("even"))
+
+    def halve(s: Column, bit: Column) -> Column:
+        x, y = (s["a"] + s["b"]) / 2, (s["c"] + s["d"]) / 2
+        even, up = s["even"], bit == 1
+        keep = lambda cond, new, old: F.when(cond, new).otherwise(old)
+        return F.struct(keep(even & up, x, s["a"]).alias("a"), keep(even & ~up, x, s["b"]).alias("b"), keep(~even & up, y, s["c"]).alias("c"), keep(~even & ~up, y, s["d"]).alias("d"), (~even).alias("even"))
+
+    return F.aggregate(bits, start, halve, lambda s: F.struct(((s["c"] + s["d"]) / 2).alias("lat"), ((s["a"] + s["b"]) / 2).alias("lon")))

@@ -233,7 +233,7 @@ def unescape_html(c: Column | str) -> Column:
 
 PATTERNS = {
     "alpha": r"^[A-Za-z]+$", "numeric": r"^[0-9]+$", "alphanumeric": r"^[A-Za-z0-9]+$", "lower": r"^[^A-Z]*[a-z][^A-Z]*$", "upper": r"^[^a-z]*[A-Z][^a-z]*$",
-    "space": r"^\s+$", "ascii": r"^[\x00-\x7F]*$", "hex": r"^[0-9A-Fa-f]+$", "hex_color": r"^#(?:[0-9A-Fa-f]{3}|[0-9A-Fa-f]{6})$",
+    "space": r"^\s+$", "printable": r"^[\x20-\x7E]*$", "base64": r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$", "base32": r"^(?:[A-Z2-7]{8})*(?:[A-Z2-7]{2}={6}|[A-Z2-7]{4}={4}|[A-Z2-7]{5}={3}|[A-Z2-7]{7}=)?$", "ascii": r"^[\x00-\x7F]*$", "hex": r"^[0-9A-Fa-f]+$", "hex_color": r"^#(?:[0-9A-Fa-f]{3}|[0-9A-Fa-f]{6})$",
     "uuid": r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$", "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$", "url": r"^https?://[^\s/$.?#].[^\s]*$",
     "ip": r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?!$)|$)){4}$",
 }
@@ -264,8 +264,294 @@ def roman(c: Column | str) -> Column:
     return F.concat(*out)
 
 
+def from_roman(c: Column | str) -> Column:
+    """Value of a Roman numeral: a sign before a larger one counts against it."""
+    value = lambda x: F.when(x == "I", 1).when(x == "V", 5).when(x == "X", 10).when(x == "L", 50).when(x == "C", 100).when(x == "D", 500).when(x == "M", 1000).otherwise(0)
+    signs = F.transform(F.filter(F.split(F.upper(col(c)), ""), lambda x: x != ""), value)
+    signed = lambda v: F.transform(v, lambda x, i: F.when(F.coalesce(F.get(v, i + 1), F.lit(0)) > x, -x).otherwise(x))
+    return F.aggregate(let(signs, signed), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+
+# English number words.
+ONES = ("", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
+TENS = ("", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+
+
+def to_words(c: Column | str) -> Column:
+    """A whole number below 10**15 in English words."""
+    pick = lambda words, i: F.get(F.array(*map(F.lit, words)), i.cast("int"))
+    skip = lambda x: F.when(x != "", x)  # noqa: E731  concat_ws leaves NULL out
+
+    def below(n: Column) -> Column:  # 0..999
+        rest = n % 100
+        two = F.when(rest < 20, pick(ONES, rest)).otherwise(F.concat_ws("-", skip(pick(TENS, F.floor(rest / 10))), skip(pick(ONES, rest % 10))))
+        return F.concat_ws(" ", F.when(n >= 100, F.concat(pick(ONES, F.floor(n / 100)), F.lit(" hundred"))), skip(two))
+
+    n = F.abs(col(c).cast("bigint"))
+    parts = []
+    for scale, name in ((10**12, " trillion"), (10**9, " billion"), (10**6, " million"), (1000, " thousand"), (1, "")):
+        group = F.call_function("mod", F.floor(n / F.lit(scale).cast("bigint")), F.lit(1000)).cast("bigint")
+        parts.append(F.when(group > 0, F.concat(below(group), F.lit(name))))
+    return F.when(n == 0, "zero").when(n.isNotNull(), F.concat_ws(" ", F.when(col(c) < 0, "negative"), *parts))
+
+
+def to_ordinal(c: Column | str) -> Column:
+    """Number words with the ending of the number's ordinal."""
+    n = col(c).cast("bigint")
+    ending = F.when((n % 100).between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+    return F.concat(to_words(c), ending)
+
+
 def format_bytes(c: Column | str) -> Column:
-    n, out = col(c).cast("double"), F.format_string("%.0f B", col(c).cast("double"))
-    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024.0**power, F.format_string(f"%.2f {unit}", n / 1024.0**power)).otherwise(out)
+    """Size with a unit up to EB, two decimals; the sign is dropped."""
+    n = F.abs(col(c).cast("bigint"))
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for power, unit in enumerate(("KB", "MB", "GB", "TB", "PB", "EB"), 1):
+        out = F.when(n >= 1024**power, F.format_string(f"%.2f {unit}", F.bround(n / float(1024**power), 2))).otherwise(out)  # ties to even
+    return out
+
+
+def from_size(c: Column | str) -> Column:
+    """Bytes of a size such as 1.5 KB; 0 for what is none."""
+    part = lambda i: F.regexp_extract(F.trim(col(c)), r"(?i)^([\d.]+)\s*(B|KB|MB|GB|TB)?$", i)
+    unit = F.upper(part(2))
+    scale = F.when(unit == "TB", 1024.0**4).when(unit == "GB", 1024.0**3).when(unit == "MB", 1024.0**2).when(unit == "KB", 1024.0).otherwise(1.0)
+    return F.coalesce((part(1).try_cast("double") * scale).cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def thousands(c: Column | str, digits: int = 2) -> Column:
+    """Fixed decimals with commas between thousands."""
+    return F.format_string(f"%,.{digits}f", col(c).cast("double"))
+
+
+def currency(c: Column | str, symbol: str = "$", digits: int = 2) -> Column:
+    return F.concat(F.when(col(c) < 0, "-").otherwise(""), F.lit(symbol), thousands(F.abs(col(c)), digits))
+
+
+def percent(c: Column | str, digits: int = 1) -> Column:
+    return F.format_string(f"%.{digits}f%%", col(c).cast("double") * 100)
+
+
+def format_int(c: Column | str, base: int = 10) -> Column:
+    """A whole number in any base of 2 to 36; others count as 10."""
+    n = col(c).cast("bigint")
+    if not 2 <= base <= 36 or base == 10:
+        return n.cast("string")
+    sign = F.when(n < 0, "-").otherwise("") if base in (2, 8, 16) else F.lit("")
+    return F.concat(sign, F.lower(F.conv(F.abs(n).cast("string"), 10, base)))
+
+
+def pad_number(c: Column | str, width: int = 2, pad: str = "0") -> Column:
+    text = col(c).cast("bigint").cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, pad[:1] or "0"))
+
+
+# Cutting and joining
+def join(c: Column | str, sep: str) -> Column:
+    return F.array_join(col(c), sep)
+
+
+def split_n(c: Column | str, sep: str, n: int) -> Column:
+    """At most n parts, the last with the rest; all parts if n is negative."""
+    return F.split(col(c), re.escape(sep), n if n else 1)
+
+
+def rsplit(c: Column | str, sep: str, n: int = -1) -> Column:
+    """At most n parts, the first with the rest; without a limit all parts, last first."""
+    parts = F.split(col(c), re.escape(sep))
+    if n <= 0:
+        return F.reverse(parts)
+
+    def cut(v: Column) -> Column:
+        head = F.array_join(F.slice(v, 1, F.greatest(F.size(v) - (n - 1), F.lit(1))), sep)
+        tail = F.slice(v, F.greatest(F.size(v) - (n - 2), F.lit(2)), F.lit(n - 1)) if n > 1 else F.slice(v, 1, 0)
+        return F.when(F.size(v) <= n, F.reverse(v) if n > 0 else v).otherwise(F.concat(F.array(head), tail))
+
+    return let(parts, cut)
+
+
+def partition_at(c: Column | str, sep: str) -> Column:
+    """[before, sep, after] at the first sep; [text, '', ''] without one."""
+    at = F.instr(col(c), sep)
+    return F.when(at == 0, F.array(col(c), F.lit(""), F.lit(""))).otherwise(F.array(F.left(col(c), at - 1), F.lit(sep), F.substring(col(c), at + len(sep), F.length(col(c)))))
+
+
+def rpartition_at(c: Column | str, sep: str) -> Column:
+    """[before, sep, after] at the last sep; ['', '', text] without one."""
+    at = last_index_of(c, sep)
+    return F.when(at < 0, F.array(F.lit(""), F.lit(""), col(c))).otherwise(F.array(F.left(col(c), at), F.lit(sep), F.substring(col(c), at + 1 + len(sep), F.length(col(c)))))
+
+
+def replace_n(c: Column | str, old: str, new: str, n: int) -> Column:
+    """The first n occurrences replaced; all if n is negative."""
+    if n < 0:
+        return F.replace(col(c), F.lit(old), F.lit(new))
+    parts = F.split(col(c), re.escape(old), n + 1)
+    return F.array_join(parts, new)
+
+
+def replace_first(c: Column | str, old: str, new: str) -> Column:
+    return replace_n(c, old, new, 1)
+
+
+def replace_ignore_case(c: Column | str, old: str, new: str) -> Column:
+    return F.regexp_replace(col(c), "(?i)" + re.escape(old), new.replace("\\", "\\\\").replace("$", "\\$")) if old else col(c)
+
+
+def unwrap(c: Column | str, wrapper: str = '""') -> Column:
+    """Without the first and last character if they are those of wrapper."""
+    inside = (F.length(col(c)) >= 2) & col(c).startswith(wrapper[0]) & col(c).endswith(wrapper[-1])
+    return F.when(inside, F.substring(col(c), 2, F.length(col(c)) - 2)).otherwise(col(c)) if len(wrapper) > 1 else col(c)
+
+
+def repeat_until(c: Column | str, length: int) -> Column:
+    """The text repeated and cut to a length."""
+    if length <= 0:
+        return F.when(col(c).isNotNull(), "")
+    return F.when(col(c) == "", "").otherwise(F.left(F.repeat(col(c), F.ceil(F.lit(length) / F.greatest(F.length(col(c)), F.lit(1))).cast("int")), F.lit(length)))
+
+
+def pad_between(a: Column | str, b: Column | str, pad: str = " ") -> Column:
+    return F.concat(col(a), F.lit(pad or " "), col(b))
+
+
+def insert(c: Column | str, at: int, part: str) -> Column:
+    """0-based; places out of the text count as its ends."""
+    return F.concat(F.left(col(c), F.lit(max(0, at))), F.lit(part), F.substring(col(c), max(0, at) + 1, F.length(col(c)))) if at > 0 else F.concat(F.lit(part), col(c))
+
+
+def delete(c: Column | str, start: int, length: int | None = None) -> Column:
+    start = max(0, start)
+    tail = F.lit("") if length is None else F.substring(col(c), start + max(0, length) + 1, F.greatest(F.length(col(c)), F.lit(1)))
+    return F.when(F.length(col(c)) <= start, col(c)).otherwise(F.concat(F.left(col(c), F.lit(start)), tail))
+
+
+def overwrite(c: Column | str, start: int, part: str) -> Column:
+    start = max(0, start)
+    return F.concat(F.left(col(c), F.lit(start)), F.lit(part), F.substring(col(c), start + len(part) + 1, F.greatest(F.length(col(c)), F.lit(1))))
+
+
+def surround(c: Column | str, wrapper: str = '"') -> Column:
+    return F.concat(F.lit(wrapper), col(c), F.lit(wrapper))
+
+
+def quote(c: Column | str, sign: str = '"') -> Column:
+    sign = (sign or '"')[0]
+    return surround(F.replace(col(c), F.lit(sign), F.lit("\\" + sign)), sign)
+
+
+def unquote(c: Column | str) -> Column:
+    """Without equal quotation marks around it, escaped ones inside it freed."""
+    out = col(c)
+    for sign in ('"', "'", "`"):
+        held = (F.length(col(c)) >= 2) & col(c).startswith(sign) & col(c).endswith(sign)
+        out = F.when(held, F.replace(F.substring(col(c), 2, F.length(col(c)) - 2), F.lit("\\" + sign), F.lit(sign))).otherwise(out)
     return out
+
+
+def normalize_newlines(c: Column | str) -> Column:
+    return F.regexp_replace(col(c), "\r\n?", "\n")
+
+
+def common_prefix(a: Column | str, b: Column | str) -> Column:
+    places = F.sequence(F.lit(0), F.least(F.length(col(a)), F.length(col(b))))
+    return F.left(col(a), F.array_max(F.filter(places, lambda i: F.left(col(a), i) == F.left(col(b), i))))
+
+
+def common_suffix(a: Column | str, b: Column | str) -> Column:
+    return F.reverse(common_prefix(F.reverse(col(a)), F.reverse(col(b))))
+
+
+def is_empty(c: Column | str) -> Column:
+    return F.coalesce(F.length(col(c)) == 0, F.lit(True))
+
+
+def escape_url(c: Column | str) -> Column:
+    return F.url_encode(col(c))
+
+
+def unescape_url(c: Column | str) -> Column:
+    return F.try_url_decode(col(c))
+
+
+def lines(c: Column | str) -> Column:
+    return F.split(col(c), "\n")
+
+
+def indent(c: Column | str, prefix: str = "  ") -> Column:
+    """prefix before each line that isn't empty."""
+    return F.array_join(F.transform(lines(c), lambda x: F.when(x == "", x).otherwise(F.concat(F.lit(prefix), x))), "\n")
+
+
+def dedent(c: Column | str) -> Column:
+    """Lines without the white space that all lines with content begin with."""
+
+    def cut(v: Column) -> Column:
+        room = F.array_min(F.transform(F.filter(v, lambda x: F.trim(x) != ""), lambda x: F.length(F.regexp_extract(x, r"^[ \t]*", 0))))
+        return let(F.coalesce(room, F.lit(0)), lambda n: F.array_join(F.transform(v, lambda x: F.when(F.trim(x) == "", "").otherwise(F.substring(x, n + 1, F.length(x)))), "\n"))
+
+    return let(lines(c), cut)
+
+
+def word_wrap(c: Column | str, width: int) -> Column:
+    """Words in lines of at most `width` characters (longer words alone)."""
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"))
+
+    def put(state: Column, word: Column) -> Column:
+        line = state["line"]
+        fits = (line == "") | (F.length(line) + 1 + F.length(word) <= width)
+        joined = F.when(line == "", word).otherwise(F.concat(line, F.lit(" "), word))
+        return F.struct(F.when(fits, state["done"]).otherwise(F.concat(state["done"], line, F.lit("\n"))).alias("done"), F.when(fits, joined).otherwise(word).alias("line"))
+
+    return F.aggregate(F.regexp_extract_all(col(c), F.lit(r"\S+"), F.lit(0)), start, put, lambda s: F.concat(s["done"], s["line"]))
+
+
+def align(c: Column | str, width: int, side: str = "left", pad: str = " ") -> Column:
+    """To a width, without cutting."""
+    if side == "center":
+        return center(c, width, pad)
+    padded = F.rpad(col(c), width, pad) if side == "left" else F.lpad(col(c), width, pad)
+    return F.when(F.length(col(c)) >= width, col(c)).otherwise(padded)
+
+
+def template(text: str, values: dict[str, Column]) -> Column:
+    """{name} in a Python text replaced by columns."""
+    pieces = re.split(r"\{(\w+)\}", text)
+    return F.concat(*(F.coalesce(values[p].cast("string"), F.lit("")) if i % 2 and p in values else F.lit("{" + p + "}" if i % 2 else p) for i, p in enumerate(pieces)))
+
+
+def sanitize(c: Column | str) -> Column:
+    """HTML-escaped, without control characters other than tab and line ends."""
+    return F.regexp_replace(escape_html(c), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+
+
+def normalize_email(c: Column | str) -> Column:
+    """Trimmed lower case; dots in the local part mean nothing at gmail.com."""
+    mail = F.trim(F.lower(col(c)))
+    whole = mail.rlike("^[^@]*@[^@]*gmail[.]com$")
+    return F.when(whole, F.concat(F.replace(F.split_part(mail, F.lit("@"), F.lit(1)), F.lit("."), F.lit("")), F.lit("@"), F.split_part(mail, F.lit("@"), F.lit(2)))).otherwise(mail)
+
+
+def normalize_phone(c: Column | str, country: str = "1") -> Column:
+    digits = F.regexp_replace(col(c), "[^0-9]", "")
+    return F.concat(F.lit("+"), F.when(F.length(digits) == 10, F.concat(F.lit(country), digits)).otherwise(digits))
+
+
+def password(c: Column | str, least: int = 8) -> Column:
+    """valid, score (0 to 5) and strength of a password."""
+    tests = [F.octet_length(col(c)) >= least, *(col(c).rlike(p) for p in ("[A-Z]", "[a-z]", "[0-9]", r"""[!@#$%^&*()_+\-=\[\]{};':"\\|,.<>/?]"""))]
+    score = sum((t.cast("int") for t in tests[1:]), tests[0].cast("int"))
+    name = lambda n: F.when(n == 5, "very strong").when(n == 4, "strong").when(n == 3, "medium").when(n == 2, "weak").otherwise("very weak")
+    return let(score, lambda n: F.struct(((n >= 3) & tests[0]).alias("valid"), n.alias("score"), name(n).alias("strength")))
+
+
+def regex_escape(text: str) -> str:
+    return re.escape(text)
+
+
+def regex_valid(pattern: str) -> bool:
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return True

@@ -7,6 +7,7 @@ so filtering postings by them is pushed into the scan, and scores are partial su
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,15 +17,15 @@ from lodestar.functions.strings import col
 from lodestar.functions.text import STOP_WORDS
 
 # The suffixes of the light stemmer, tried in this order.
-SUFFIXES = ("ing", "ed", "ly", "ies", "es", "s", "ment", "ness", "able", "ible", "tion", "er", "est")
+SUFFIXES = ("ation", "ition", "ness", "ment", "able", "ible", "ous", "ive", "ly", "ed", "ing", "es", "s")
 
 
 def stemmed(word: Column) -> Column:
-    """The word without the first suffix that leaves two letters, if it has over three."""
+    """The word without the first suffix that leaves two bytes, if it has over three."""
     out = word
     for suffix in reversed(SUFFIXES):
-        out = F.when(word.endswith(suffix) & (F.length(word) - len(suffix) >= 2), F.left(word, F.length(word) - len(suffix))).otherwise(out)
-    return F.when(F.length(word) > 3, out).otherwise(word)
+        out = F.when(word.endswith(suffix) & (F.octet_length(word) - len(suffix) >= 2), F.left(word, F.length(word) - len(suffix))).otherwise(out)
+    return F.when(F.octet_length(word) > 3, out).otherwise(word)
 
 
 def terms(text: Column | str, stem: bool = False) -> Column:
@@ -45,12 +46,28 @@ class Index:
         postings = at.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
         return Index(postings, listed.select("doc", F.size("terms").cast("bigint").alias("length")), stem)
 
+    def plus(self, rows: DataFrame, key: str, *texts: str) -> Index:
+        """With the postings of further documents."""
+        new = Index.build(rows, key, *texts, stem=self.stem)
+        return Index(self.postings.unionByName(new.postings), self.docs.unionByName(new.docs), self.stem)
+
+    def without(self, keys: DataFrame) -> Index:
+        """Without the documents of a one-column table of keys."""
+        gone = keys.toDF("doc").distinct()
+        return Index(self.postings.join(gone, "doc", "left_anti"), self.docs.join(gone, "doc", "left_anti"), self.stem)
+
+    def kept(self, path: str) -> Index:
+        """Written to a new folder under path and read from there."""
+        spark, at = self.docs.sparkSession, f"{path}/{uuid.uuid4().hex}"
+        self.save(at)
+        return Index.load(spark, at, self.stem)
+
     def _query_terms(self, query: str) -> list[str]:
         words = [w for w in re.split(r"[^\w]+", query.lower()) if len(w) >= 2 and w not in (*STOP_WORDS, "and", "or", "not")]
         if self.stem:
             for i, w in enumerate(words):
-                if len(w) > 3:
-                    words[i] = next((w[: -len(s)] for s in SUFFIXES if w.endswith(s) and len(w) - len(s) >= 2), w)
+                if len(w.encode()) > 3:
+                    words[i] = next((w[: -len(s)] for s in SUFFIXES if w.endswith(s) and len(w.encode()) - len(s) >= 2), w)
         return list(dict.fromkeys(words))
 
     def search(self, query: str) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.session import checkpoints
+
 
 def set_operation(left: DataFrame, right: DataFrame, kind: str, all_rows: bool = False) -> DataFrame:
     """UNION, INTERSECT or EXCEPT by position; names from the left side.  NULLs compare equal."""
@@ -47,11 +49,7 @@ def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
 
     Each round is checkpointed, so plans stay short and lost executors re-read files.
     """
-    spark = base.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-"))
+    checkpoints(base.sparkSession)
     new = (base.distinct() if distinct else base).checkpoint()
     seen = new
     for _ in range(most):

@@ -58,16 +58,6 @@ def fn_string_spans(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", strings.center("s_name", 30).alias("mid"), strings.trim_prefix("s_name", "Supplier#").alias("bare"), strings.last_index_of("s_name", "0").cast(B).alias("last0"), strings.strip_punctuation("s_name").alias("plain"))
 
 
-@query("fn_soundex")
-def fn_soundex(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", strings.soundex("p_name").alias("sx"), strings.difference("p_name", "p_type").alias("same"))
-
-
-@query("fn_roman_bytes")
-def fn_roman(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", strings.roman(F.col("p_partkey") % 3999 + 1).alias("roman"), strings.format_bytes(F.col("p_partkey") * 1000).alias("size"), strings.rot("p_name").alias("rot13"))
-
-
 @query("fn_math_1", r"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, abs(l_discount - 0.05) AS ab, round(l_extendedprice)::BIGINT AS ro, round(l_extendedprice, 1) AS ro1, ceil(l_extendedprice)::BIGINT AS ce, floor(l_extendedprice)::BIGINT AS fl,
 (l_orderkey % 7)::BIGINT AS mo, pow(l_linenumber, 2)::DOUBLE AS po, sqrt(l_quantity) AS sq, sign(l_discount - 0.05)::BIGINT AS si, round(ln(l_quantity), 10) AS ln, round(log10(l_quantity), 10) AS lg, round(exp(l_discount), 10) AS ex, trunc(l_extendedprice)::BIGINT AS tr FROM lineitem""")
 def fn_math_1(t: Tables) -> DataFrame:
@@ -80,10 +70,10 @@ def fn_math_1(t: Tables) -> DataFrame:
 
 @query("fn_math_2", r"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(sin(l_quantity), 9) AS s, round(cos(l_quantity), 9) AS c, round(tan(l_discount), 9) AS t, round(asin(l_discount), 9) AS as_, CASE WHEN l_linenumber <= 1 THEN round(acos(CASE WHEN l_linenumber <= 1 THEN l_linenumber ELSE 0 END), 9) END AS ac,
 round(atan(l_quantity), 9) AS at, round(atan2(l_quantity, l_tax), 9) AS at2, round(degrees(l_discount), 9) AS dg, round(radians(l_quantity), 9) AS rd, round(cot(l_quantity), 6) AS co, pi() AS pi,
-gcd(l_orderkey, l_partkey)::BIGINT AS g, greatest(least(l_quantity, 40), 10) AS cl FROM lineitem WHERE l_orderkey <= 4000""")
+gcd(l_orderkey, l_partkey)::BIGINT AS g, greatest(least(l_quantity, 40), 10) AS cl FROM lineitem""")
 def fn_math_2(t: Tables) -> DataFrame:
     r = lambda x, n=9: F.round(x, n)
-    return t.lineitem.where("l_orderkey <= 4000").select(
+    return t.lineitem.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", r(F.sin("l_quantity")).alias("s"), r(F.cos("l_quantity")).alias("c"), r(F.tan("l_discount")).alias("t"), r(maths.asin("l_discount")).alias("as_"), r(maths.acos("l_linenumber")).alias("ac"), r(F.atan("l_quantity")).alias("at"), r(F.atan2("l_quantity", "l_tax")).alias("at2"),
         r(F.degrees("l_discount")).alias("dg"), r(F.radians("l_quantity")).alias("rd"), r(maths.cot("l_quantity"), 6).alias("co"), F.pi().alias("pi"), maths.gcd("l_orderkey", "l_partkey").alias("g"), maths.clamp("l_quantity", 10.0, 40.0).alias("cl"),
     )
@@ -94,9 +84,10 @@ def fn_math_integers(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", maths.lcm("p_partkey", "p_size").alias("l"), F.factorial(F.col("p_size") % 15).alias("f"))
 
 
-@query("fn_math_primes", r"""SELECT p_partkey, p_partkey > 1 AND NOT list_bool_or(list_transform(range(2, p_partkey), lambda d: p_partkey % d = 0)) IS TRUE AS prime FROM part WHERE p_partkey <= 400""")
+@query("fn_math_primes", """WITH odd AS (SELECT range AS d FROM range(2, (SELECT ceil(sqrt(max(p_partkey)))::BIGINT + 2 FROM part)))
+SELECT p_partkey, p_partkey > 1 AND NOT EXISTS (SELECT 1 FROM odd WHERE d * d <= p_partkey AND p_partkey % d = 0) AS prime FROM part""")
 def fn_primes(t: Tables) -> DataFrame:
-    return t.part.where("p_partkey <= 400").select("p_partkey", maths.is_prime("p_partkey").alias("prime"))
+    return t.part.select("p_partkey", maths.is_prime("p_partkey").alias("prime"))
 
 
 @query("fn_date_1", r"""SELECT o_orderkey, year(o_orderdate)::BIGINT AS y, month(o_orderdate)::BIGINT AS m, day(o_orderdate)::BIGINT AS d, hour(o_orderdate)::BIGINT AS h, quarter(o_orderdate)::BIGINT AS q, week(o_orderdate)::BIGINT AS w, dayofyear(o_orderdate)::BIGINT AS doy,
@@ -159,22 +150,15 @@ def fn_json_edit(t: Tables) -> DataFrame:
 
 
 @query("fn_array", r"""SELECT vec_id, len(embedding)::BIGINT AS n, round(list_sum(embedding::DOUBLE[]), 6) AS s, list_max(embedding) AS hi, list_min(embedding) AS lo, embedding[1] AS f, embedding[64] AS l, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS nn,
-len(list_filter(embedding, lambda x: x > 0))::BIGINT AS pos, round(list_sum(list_transform(embedding[1:8]::DOUBLE[], lambda x: x * 2)), 6) AS dbl, list_sort([label, 3, 1, 3]::INT[]) AS srt, list_distinct([1, 1])[1]::INT AS uq FROM embeddings""")
+len(list_filter(embedding, lambda x: x > 0))::BIGINT AS pos, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * 2)), 6) AS dbl, list_sort([label, 3, 1, 3]::INT[]) AS srt, list_distinct([1, 1])[1]::INT AS uq FROM embeddings""")
 def fn_array(t: Tables) -> DataFrame:
     e = "embedding"
     return t.embeddings.select(
         "vec_id", F.size(e).cast(B).alias("n"), F.round(arrays.reduce(e, "sum"), 6).alias("s"), F.array_max(e).alias("hi"), F.array_min(e).alias("lo"), F.element_at(e, 1).alias("f"), F.element_at(e, -1).alias("l"), F.round(arrays.dot(e, e), 6).alias("nn"), F.size(F.filter(e, lambda x: x > 0)).cast(B).alias("pos"),
-        F.round(arrays.reduce(F.transform(arrays.take(e, 8), lambda x: x.cast("double") * 2), "sum"), 6).alias("dbl"), F.array_sort(F.array(F.col("label"), F.lit(3), F.lit(1), F.lit(3))).alias("srt"), F.element_at(F.array_distinct(F.array(F.lit(1), F.lit(1))), 1).alias("uq"),
+        F.round(arrays.reduce(F.transform(e, lambda x: x.cast("double") * 2), "sum"), 6).alias("dbl"), F.array_sort(F.array(F.col("label"), F.lit(3), F.lit(1), F.lit(3))).alias("srt"), F.element_at(F.array_distinct(F.array(F.lit(1), F.lit(1))), 1).alias("uq"),
     )
 
 
-@query("fn_array_shapes")
-def fn_array_shapes(t: Tables) -> DataFrame:
-    a = F.slice("embedding", 1, 5)
-    test = lambda x: x > 0
-    return t.embeddings.select("vec_id", arrays.chunk(a, 2).alias("chunk"), arrays.windows(a, 3).alias("win"), arrays.rotate(a, 2).alias("rot"), arrays.intersperse(a, F.lit(0.0).cast("float")).alias("mix"), arrays.take_while(a, test).alias("tw"), arrays.drop_while(a, test).alias("dw"), arrays.partition(a, test).alias("part"), arrays.pop(a).alias("pop"), arrays.median(a).alias("med"), arrays.variance(a).alias("var"), arrays.count_by(F.array(F.lit("x"), F.lit("y"), F.lit("x"))).alias("cnt"))
-
-
 @query("fn_map", r"""SELECT event_id, map_keys(m) AS k, map_values(m) AS v, m['t'] AS t FROM (SELECT event_id, MAP {'t': event_type, 'u': user_id::VARCHAR} AS m FROM events)""")
 def fn_map(t: Tables) -> DataFrame:
     m = F.create_map(F.lit("t"), "event_type", F.lit("u"), F.col("user_id").cast("string"))
@@ -225,20 +209,6 @@ def txt_jaccard(t: Tables) -> DataFrame:
     return pairs.select("a", "b", F.round(text.jaccard("x", "y"), 6).alias("j"))
 
 
-def _hits(words: tuple[str, ...]) -> str:
-    return " + ".join(f"(contains(t, '{w}'))::INT" for w in words)
-
-
-@query("txt_sentiment", f"SELECT doc_id, CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0.0 END AS s FROM (SELECT doc_id, {_hits(text.POSITIVE)} AS p, {_hits(text.NEGATIVE)} AS n FROM (SELECT doc_id, lower(text) AS t FROM documents))")
-def txt_sentiment(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.sentiment("text").alias("s"))
-
-
-@query("txt_stem")
-def txt_stem(t: Tables) -> DataFrame:
-    return t.documents.select(F.explode(text.tokens("text")).alias("word")).distinct().select("word", text.stem("word").alias("stem"))
-
-
 _BARE = r"regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g')"
 _ENT = f"regexp_replace({_BARE}, '(?s)<[^>]*>', ' ', 'g')"
 for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&#34;", '"'), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local sessions that name no shared one (tests).
+_LOCAL: dict[str, str] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -25,6 +29,26 @@ def create(app: str = "lodestar", master: str | None = None, **conf: str) -> Spa
     return builder.config(map=settings).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse.  Only a session whose
+    tasks run in the driver's own process may fall back to a local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if context.master.split("[")[0] == "local":
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="lodestar-")
+        return _LOCAL[context.applicationId]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lodestar"
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Let checkpoint() write to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/lodestar/checkpoints")
+
+
 class Tables:
     """The tables of a directory as attributes, each read (lazily) with its own schema and nothing cached."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.session import shared_dir
+
 
 def with_event_time(df: DataFrame, time: str, late: str | None = None) -> DataFrame:
     """Event time as a timestamp; on a stream with a watermark, after which late rows are dropped."""
@@ -38,7 +39,8 @@ def rate_limited(df: DataFrame, time: str, key: str, width: str, most: int) -> D
 
 
 def token_bucket(df: DataFrame, key: str, time: str, order: str, capacity: float, per_second: float) -> DataFrame:
-    """Token buckets per key over time: key, order, allowed.  Works on a stream, with the level and last time as state."""
+    """Token buckets per key over time: key, order, allowed.  Works on a stream, with the level and last time as state; in a
+    batch, rows stream past sorted by key and time, so a task holds one Arrow batch, however long a key's history."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, allowed boolean"
 
@@ -53,11 +55,18 @@ def token_bucket(df: DataFrame, key: str, time: str, order: str, capacity: float
 
     if not df.isStreaming:
 
-        def batch(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values([time, order])
-            return rows[[key, order]].assign(allowed=spend(capacity, None, rows)[2])
+        def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, level, last = object(), capacity, None
+            for rows in frames:
+                allowed: list[bool] = []
+                for k, part in rows.groupby(key, sort=False, dropna=False):
+                    if k != now:
+                        now, level, last = k, capacity, None
+                    level, last, own = spend(level, last, part)
+                    allowed += own
+                yield rows[[key, order]].assign(allowed=allowed)
 
-        return df.select(key, order, time).groupBy(key).applyInPandas(batch, schema)
+        return df.select(key, order, time).repartition(key).sortWithinPartitions(key, time, order).mapInPandas(batch, schema)
 
     def stream(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         level, last = state.get if state.exists else (capacity, None)
@@ -72,7 +81,7 @@ def token_bucket(df: DataFrame, key: str, time: str, order: str, capacity: float
 def run_available(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what is there and return its result: written by foreachBatch, so also on clusters."""
     spark: SparkSession = stream.sparkSession
-    base = checkpoint or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-")
+    base = checkpoint or shared_dir(spark)
     path = f"{base}/streams/{uuid.uuid4().hex}"
 
     def keep(rows: DataFrame, epoch: int) -> None:

@@ -10,7 +10,7 @@ from lodestar.operators import joins, relational
 from lodestar.operators.fulltext import Index
 from lodestar.plans.dialect import rewrite, run_script, run_sql, split_statements
 from lodestar.sources import delimited
-from lodestar.sources.tables import ConstraintError, Database, Foreign, insert_through_view
+from lodestar.sources.tables import ConstraintError, Database, Foreign, View
 
 
 def one(spark, *columns):
@@ -145,7 +145,7 @@ def test_tables(spark, tmp_path):
         with pytest.raises(ConstraintError):
             db.insert("children", spark.createDataFrame(bad, "id bigint, parent bigint, total double"))
     with pytest.raises(ConstraintError):
-        insert_through_view(db, "children", "total < 10", spark.createDataFrame([(5, 1, 11.0)], "id bigint, parent bigint, total double"))
+        View(db, "children", "total < 10", "LOCAL").insert(spark.createDataFrame([(5, 1, 11.0)], "id bigint, parent bigint, total double"))
     seen = []
     db.on("parents", "AFTER", "DELETE", lambda rows: seen.append(rows.count()))
     db.begin()
