@@ -13,7 +13,7 @@
    one takes a byte), a pair in the first bucket it shares only.
    Each round verifies each member's likeliest partners, few at first, joins components, and drops what has become
    linked; the last round verifies every pair left that may reach the threshold.  So only pairs that do not
-   link have to be tested one by one.
+   link have to be tested one by one.  A block that has no further pair to verify doesn't come again.
 
 Sets travel only for pairs to verify, a hot leader's over up to `SALTS` salted copies.
 Null text and text without words: an empty set, linked with nothing.  Repeated rows repeat their results.
@@ -37,12 +37,13 @@ from lodestar.llm.graph import components, joined_components
 BASE, TOP, RATE = 1.001, (1 << 16) - 2, 20.0
 BANDS, ROWS, SALTS, BLOCK = 32, 4, 256, 1024
 #: A pair is verified if its estimate is no further below the threshold; about 5 standard errors of either sketch.
-SLACK, WIDE, WIDE_SLACK, COARSE = 0.18, 2048, 0.046, 182
+SLACK, WIDE, WIDE_SLACK, COARSE = 0.18, 1024, 0.064, 182
 #: Partners of a member that a round verifies in each bucket; None: all.
 PARTNERS = (1, 8, None)
 #: Pairs whose short sketches a task compares at once.
 SLAB = 1 << 15
 BROADCAST_ROWS = 500_000
+GROUP = ["bucket", "p", "q"]
 _U = np.uint64
 
 
@@ -172,7 +173,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _likely(rows: pa.Table, threshold: float, partners: int | None) -> pa.RecordBatch:
-    """Pairs of _crossing() from whole groups, whose rows stand together: all, or the `partners` likeliest of each row."""
+    """Pairs (a, b) of _crossing() from whole groups, whose rows stand together: all, or the `partners` likeliest of each
+    row; and (bucket, p, q) of the groups that hold further ones."""
     column = lambda name: rows.column(name).to_numpy()
     raw = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint8).reshape(rows.num_rows, 2 * BANDS * ROWS + WIDE)
     short, wide = np.ascontiguousarray(raw[:, : 2 * BANDS * ROWS]).view(np.uint16), raw[:, 2 * BANDS * ROWS :]
@@ -181,7 +183,7 @@ def _likely(rows: pa.Table, threshold: float, partners: int | None) -> pa.Record
     starts = _starts(rows)
     ends = np.repeat(np.append(starts[1:], len(node)), np.diff(np.append(starts, len(node))))
     # Registers that equal sizes have in common at the lowest similarity to verify, less what sizes and chance may take away.
-    least = 1 - 2 * float(_differs(np.float64((1 - threshold + WIDE_SLACK) / 2), BASE**COARSE)) - 0.04
+    least = 1 - 2 * float(_differs(np.float64((1 - threshold + WIDE_SLACK) / 2), BASE**COARSE)) - 0.05
     later = ends - np.arange(len(node)) - 1  # members of the group after each row
     total, found, i = np.cumsum(later), [], 0
     while i < len(node):
@@ -206,15 +208,23 @@ def _likely(rows: pa.Table, threshold: float, partners: int | None) -> pa.Record
             found.append((u[near], v[near], j[near]))
     x, y, j = (np.concatenate(part) if found else np.zeros(0) for part in (zip(*found, strict=True) if found else ((), (), ())))
     x, y = x.astype(np.int64), y.astype(np.int64)
+    more = np.zeros(0, np.int64)  # first rows of groups with further pairs
     if partners is not None and len(x):
-        x, y, j = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([j, j])
-        order = np.lexsort((y, -j, x))
-        x, y = x[order], y[order]
-        begin = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-        rank = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
-        x, y = x[rank < partners], y[rank < partners]
+        pair = np.arange(len(x))
+        both, pair = np.concatenate([x, y]), np.concatenate([pair, pair])
+        order = np.lexsort((np.concatenate([y, x]), -np.concatenate([j, j]), both))
+        own, pair = both[order], pair[order]
+        begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        rank = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
+        chosen = np.unique(pair[rank < partners])
+        rest = np.setdiff1d(np.arange(len(x)), chosen, assume_unique=True)
+        more = np.unique(starts[np.searchsorted(starts, x[rest], side="right") - 1])
+        x, y = x[chosen], y[chosen]
     pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    none = lambda k: pa.nulls(k, pa.int64())
+    columns = [pa.concat_arrays([pa.array(pairs[:, k], pa.int64()), none(len(more))]) for k in (0, 1)]
+    columns += [pa.concat_arrays([none(len(pairs)), pa.array(column(c)[more], pa.int64())]) for c in GROUP]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", *GROUP])
 
 
 def _starts(rows: pa.Table) -> np.ndarray:
@@ -223,14 +233,22 @@ def _starts(rows: pa.Table) -> np.ndarray:
     return np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else np.zeros(0, np.int64)
 
 
-def _crossing(mixed: DataFrame, threshold: float, partners: int | None) -> DataFrame:
-    """Likely pairs of different components inside the buckets of `mixed` (bucket, band, node, label, n, wide): of each
-    member the `partners` likeliest.  Buckets are cut into blocks; a group has two blocks at most.  Groups are small but
-    many, so a task compares those of an Arrow batch at once and holds back the last, which may go on in the next."""
-    sizes = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    split = mixed.join(sizes, "bucket").withColumn("part", F.pmod(F.hash("node"), F.col("parts").cast("int")).cast("long"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    split = split.withColumn("other", other).withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other"))
+def _blocks(shared: DataFrame) -> DataFrame:
+    """shared (bucket, node, band) in groups (bucket, p, q): the pairs of blocks of a bucket; a group has two blocks at most."""
+    sizes = shared.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    split = shared.join(sizes, "bucket").withColumn("part", F.pmod(F.hash("node"), F.col("parts").cast("int")).cast("long"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return split.select(*GROUP[:1], F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.col("band").cast("int").alias("band"), "node", "part")
+
+
+def _crossing(blocks: DataFrame, labels: DataFrame, wide: DataFrame, threshold: float, partners: int | None) -> DataFrame:
+    """Likely pairs (a, b) of different components inside the groups of `blocks`: of each member the `partners` likeliest;
+    and the groups that hold further ones.  Sketches are attached last, to members of groups with several components only.
+    Groups are small but many, so a task compares those of an Arrow batch at once and holds back the last, which may go
+    on in the next."""
+    labelled = blocks.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = labelled.groupBy(*GROUP).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*GROUP)
+    mixed = labelled.join(several, GROUP).join(wide, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -245,9 +263,9 @@ def _crossing(mixed: DataFrame, threshold: float, partners: int | None) -> DataF
         if held is not None:
             yield _likely(held, threshold, partners)
 
-    split = split.select("bucket", "p", "q", "band", "node", "label", "n", "part", "wide")
-    split = split.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node")
-    return split.mapInArrow(run, "a bigint, b bigint").distinct()
+    split = mixed.select(*GROUP, "band", "node", "label", "n", "part", "wide")
+    split = split.repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
+    return split.mapInArrow(run, "a bigint, b bigint, bucket bigint, p bigint, q bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -318,15 +336,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     links = materialise(_verified(best, sets, threshold), "links")
     labels = components(links)
     wide = sets.select("node", "wide", (F.octet_length("items") / 8).cast("bigint").alias("n"))
+    blocks = materialise(_blocks(shared), "blocks")
     for partners in PARTNERS:
-        labelled = shared.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
-        several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        mixed = labelled.join(several, "bucket").join(wide, "node")
-        more = materialise(_crossing(mixed, threshold, partners).join(tested, ["a", "b"], "left_anti"), "crossing")
-        tested = tested.unionByName(more)
-        found = materialise(_verified(more, sets, threshold), "links")
-        if not found.isEmpty():
-            labels = joined_components(labels, found)
+        found = materialise(_crossing(blocks, labels, wide, threshold, partners), "crossing")
+        pairs = found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        links = materialise(_verified(pairs, sets, threshold), "links")
+        if not links.isEmpty():
+            labels = joined_components(labels, links)
+        tested = tested.unionByName(found.where("a is not null").select("a", "b"))
+        blocks = blocks.join(found.where("bucket is not null").select(*GROUP), GROUP, "left_semi")
 
     of_node = nodes.select("node", "digest", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = of_node.groupBy("label").agg(F.min("least").alias("component_id"))
