@@ -9,9 +9,9 @@ null or non-finite component, and rows with a null label, link with nothing.  Eq
    a member's worst neighbour enter its list, and the best `k` stay.  Links (cosine at or above the threshold) are kept
    apart, whatever the lists drop.  A round ends the refinement when the audit holds, no components merge and at most
    `CHANGED` of the lists' entries are new.
-3. Audit: up to `AUDIT` vectors (ids divisible by 50, least hash first; a bounded set, so it may be broadcast) are
-   compared to all rows.  While the mean recall of these vectors, or of those with few links, is under `recall`, rounds
-   go on with further orders; if it stays there, the operator raises.  Audited links are reported, not added.
+3. Audit: every vector whose id is divisible by `audit` is compared to all rows, `AUDITED` of them at a time (a bounded block,
+   so it may be broadcast).  While the mean recall of these vectors, or of those with few links, is under `recall`, rounds
+   go on with further orders; if it stays there, the operator raises.  Audited links are a measure and never added.
 4. Lists that hold nothing but links are saturated.  They are enlarged by the k best neighbours outside the node's
    component, which take part in the joins, until one of them is no link and no components merge; and to every member
    of the component, compared in blocks of `BLOCK`: links are counted, never written out as pairs.
@@ -23,16 +23,17 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialise, python_ready
+from lodestar.llm.common import materialise, python_ready, scratch
 from lodestar.llm.graph import components
 
-K, ORDERS, WINDOW, ROUNDS, RECALL, AUDIT, BLOCK = 10, 8, 16, 6, 0.98, 2000, 1024
+K, ORDERS, WINDOW, ROUNDS, RECALL, AUDIT, AUDITED, BLOCK = 10, 8, 16, 6, 0.98, 50, 2000, 1024
 MISS, FEW, CHANGED = 1e-3, 10, 0.05
 log = logging.getLogger(__name__)
 
@@ -189,6 +190,17 @@ def _local_join(graph: DataFrame, nodes: DataFrame, labels: DataFrame, k: int, t
     return members.mapInArrow(join, "a bigint, b bigint, s double")
 
 
+def _truth(nodes: DataFrame, audit: int, threshold: float) -> DataFrame:
+    """All links (a, b) of every vector whose id is divisible by `audit`, block by block."""
+    spark = nodes.sparkSession
+    path = scratch(spark, "audit")
+    spark.createDataFrame([], "a bigint, b bigint").write.parquet(path)
+    queries = nodes.where(F.col("node") % audit == 0).select("node", "label", "vec").toLocalIterator()
+    while block := [tuple(r) for r in islice(queries, AUDITED)]:
+        _audited(nodes, block, threshold).write.mode("append").parquet(path)
+    return spark.read.schema("a bigint, b bigint").parquet(path)
+
+
 def _audited(nodes: DataFrame, queries: list, threshold: float) -> DataFrame:
     """All links (a, b) of the queries, a bounded list of (node, label, vec)."""
     by: dict[tuple, tuple] = {}
@@ -230,7 +242,7 @@ def _count_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
     return split.groupBy("component", "p", "q").applyInPandas(run, "node bigint, others bigint").groupBy("node").agg(F.sum("others").alias("others"))
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = K, recall: float = RECALL, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = K, recall: float = RECALL, rounds: int = ROUNDS, audit: int = AUDIT) -> DataFrame:
     """vec_id, n_links, component_id (long), kept (boolean)."""
     python_ready(table.sparkSession)
 
@@ -251,8 +263,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, k: int = K, recal
     bits, orders = _effort(largest, threshold)
     found = _starts(nodes, range(orders), bits, k)
     links = materialise(found.where(F.col("s") >= threshold).select("a", "b").distinct(), "links")
-    queries = [tuple(r) for r in nodes.where("node % 50 = 0").orderBy(F.xxhash64("node")).select("node", "label", "vec").limit(AUDIT).collect()]
-    truth = materialise(_audited(nodes, queries, threshold), "audit")
+    truth = _truth(nodes, audit, threshold)
     reached = components(links)
     graph = materialise(_lists(found, reached, k, threshold), "graph")
     merged, used, turn = _merged(reached), orders, 0

@@ -93,6 +93,8 @@ def _occurrences(docs: DataFrame, once: bool, mean: int, longest: int) -> DataFr
 def repeated_spans(docs: DataFrame, mean: int = MEAN, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """One row for each span to remove: doc_id, first_word, n_words, n_chunks (long), first_doc_id (the smallest
     doc_id that keeps the span's first chunk)."""
+    if not 0 < longest < 256:
+        raise ValueError("a place has room for chunks of 1 to 255 words")
     python_ready(docs.sparkSession)
     seen = _occurrences(docs, True, mean, longest).groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
     # A chunk that repeats inside one document only is told by `again` alone.

@@ -309,6 +309,14 @@ def test_co_training_edges(spark, odd, empty, labels):
     assert op08_cotraining.co_train(empty, table).count() == 0
 
 
+def test_co_training_without_calibration(spark):
+    """Toxic labels that all lie outside the calibration fold still count."""
+    rows = [(i, ("vile nasty slur " if i % 4 == 0 else "calm plain prose ") * 15 + f"w{i}", "en", "h", 1) for i in range(200)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(200) if zlib.crc32(str(i).encode()) % 5 or i % 4]
+    got = op08_cotraining.co_train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    assert all((r["toxicity"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in got)
+
+
 def test_co_training_held_out(spark):
     SF = "/root/testdata/sf0.001"
 
