@@ -9,7 +9,8 @@ documents of a fold (crc32 of doc_id mod 5 = 0) that trains no weights.  The sam
 a toxicity score.  Counts cover all documents; what reaches the driver is bounded by the number of features and bins.
 
 Null text counts as empty, null metadata as a value of its own.  Labels that disagree for a doc_id count by majority (ties:
-1), null labels not at all; a label with one class only gives 0.5 plus no evidence.  Repeated rows repeat their results.
+1), null labels not at all; a label with one class only gives 0.5 plus no evidence.  Where only the calibration fold lacks a class, the
+views stay uncalibrated and their mean margin decides.  Repeated rows repeat their results.
 """
 
 from __future__ import annotations
@@ -88,13 +89,14 @@ class View:
     """Naive Bayes over one view, with Platt scaling."""
 
     def __init__(self, size: int):
-        self.weights, self.bias, self.a, self.b = np.zeros(size), 0.0, 1.0, 0.0
+        self.weights, self.bias, self.a, self.b, self.taught = np.zeros(size), 0.0, 1.0, 0.0, False
 
     def fit(self, counts: np.ndarray) -> None:
         """counts[class]: documents with each feature; the last entry is the number of documents."""
         n0, n1 = counts[0, -1], counts[1, -1]
         if not n0 or not n1:
             return
+        self.taught = True
         c0, c1 = counts[0, :-1], counts[1, :-1]
         p0, p1 = (c0 + 1) / (n0 + 2), (c1 + 1) / (n1 + 2)
         both = (c0 + c1 + 1) / (n0 + n1 + 2)
@@ -194,6 +196,10 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident
                     views[target, view].b, views[target, view].a = _logistic(np.stack([one, x[:, k]], axis=1), own["given"].to_numpy(), own["n"].to_numpy())
                 joint[target] = _logistic(np.column_stack([one, x]), own["given"].to_numpy(), own["n"].to_numpy())
 
+    for target in TARGETS:
+        if not joint[target].any():  # no calibration: the taught views as they are
+            used = [views[target, v].taught for v in sizes]
+            joint[target][1:] = np.array(used, float) / max(1, sum(used))
     id_type = table.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
