@@ -397,8 +397,7 @@ def ddl_constraints(t: Tables) -> DataFrame:
 def ddl_sequence(t: Tables) -> DataFrame:
     engine = _engine(t, "CREATE TABLE things (id INTEGER PRIMARY KEY AUTO_INCREMENT, name TEXT)")
     engine.db.insert("things", t.nation.select(F.col("n_name").alias("name")))
-    n = engine.db.row_count
-    return engine.sql(f"SELECT name, id BETWEEN 1 AND {n} AS numbered, CAST({engine.db.last_insert_id} AS BIGINT) AS last FROM things")
+    return engine.sql("SELECT name, id BETWEEN 1 AND ROW_COUNT() AND CONNECTION_ID() = 1 AS numbered, LAST_INSERT_ID() AS last FROM things")
 
 
 @query("view_check_option", f"SELECT id, balance FROM ({_CUST}) WHERE balance > 0 AND id < 50 UNION ALL SELECT -1, 7.0")

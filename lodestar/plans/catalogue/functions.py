@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions import arrays, dates, hashing, jsons, maths, strings, text
+from lodestar.functions import arrays, dates, hashing, jsons, maths, session, strings, text
 from lodestar.plans.catalogue.registry import query, same
 from lodestar.session import Tables
 
@@ -173,8 +173,7 @@ def fn_geo(t: Tables) -> DataFrame:
 
 @query("fn_typeof", """SELECT c_custkey, 'integer' AS a, 'real' AS b, 'text' AS c FROM customer""")
 def fn_typeof(t: Tables) -> DataFrame:
-    names = {"bigint": "integer", "int": "integer", "double": "real", "string": "text", "boolean": "boolean", "binary": "blob"}
-    kind = lambda c: F.when(F.col(c).isNull(), "null").otherwise(names.get(dict(t.customer.dtypes)[c], "datetime"))
+    kind = lambda c: session.type_name(c, t.customer)
     return t.customer.select("c_custkey", kind("c_custkey").alias("a"), kind("c_acctbal").alias("b"), kind("c_name").alias("c"))
 
 

@@ -330,3 +330,81 @@ def state_machine(t: Tables) -> DataFrame:
 @query("cron_matches", "SELECT event_id FROM events WHERE minute(ts) IN (0, 15, 30, 45) AND hour(ts) BETWEEN 8 AND 17 AND dayofweek(ts) BETWEEN 1 AND 5")
 def cron_matches(t: Tables) -> DataFrame:
     return t.events.where(rules.cron_matches(F.col("ts"), "*/15 8-17 * * 1-5")).select("event_id")
+
+
+# Sessions, scripts, formats, services
+@query("fn_session", """SELECT n_nationkey, TRUE AS now, TRUE AS today, TRUE AS uid, TRUE AS rnd, TRUE AS usr, TRUE AS db, TRUE AS ver, repeat(' ', (n_nationkey % 4)::INT) AS sp, 'integer' AS t1, 'text' AS t2, 'real' AS t3, 'null' AS t4 FROM nation""")
+def fn_session(t: Tables) -> DataFrame:
+    from lodestar.functions import session as s
+
+    kind = lambda c: s.type_name(c, t.nation)
+    return t.nation.select(
+        "n_nationkey", (s.now() >= F.lit("2024-01-01").cast("timestamp")).alias("now"), (s.today() >= F.lit("2024-01-01").cast("date")).alias("today"), strings.is_("uuid", hashing.uuid()).alias("uid"), F.rand().between(0, 1).alias("rnd"), (F.length(s.user()) > 0).alias("usr"), (F.length(s.database()) > 0).alias("db"),
+        s.version().rlike("^[0-9]+[.]").alias("ver"), s.space((F.col("n_nationkey") % 4).cast("int")).alias("sp"), kind("n_nationkey").alias("t1"), kind("n_name").alias("t2"), s.type_of_column(F.lit(1.5), "double").alias("t3"), s.type_of_column(F.lit(None).cast("int"), "int").alias("t4"),
+    )
+
+
+@query("typed_text", """SELECT c_custkey, c_custkey AS n, CASE c_custkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS b, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS d, NULL::VARCHAR AS nothing FROM customer""")
+def typed_text(t: Tables) -> DataFrame:
+    from pyspark.sql import types as T
+
+    from lodestar.sources.delimited import typed
+
+    word = F.expr("CASE c_custkey % 3 WHEN 0 THEN ' Yes' WHEN 1 THEN 'off' ELSE '' END")
+    number = F.expr("CASE WHEN c_custkey % 2 = 0 THEN cast(c_acctbal AS string) ELSE 'none' END")
+    return t.customer.select("c_custkey", typed(F.concat(F.lit(" "), F.col("c_custkey").cast("string")), T.LongType()).alias("n"), typed(word, T.BooleanType()).alias("b"), typed(number, T.DoubleType()).alias("d"), typed(F.lit("NULL"), T.StringType()).alias("nothing"))
+
+
+@query("output_formats", """SELECT 'json' AS kind, '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS line FROM region UNION ALL SELECT 'csv', r_regionkey || ',' || r_name FROM region UNION ALL SELECT 'tsv', r_regionkey || chr(9) || r_name FROM region""")
+def output_formats(t: Tables) -> DataFrame:
+    from lodestar.sources.delimited import to_format
+
+    rows = t.region.select("r_regionkey", "r_name")
+    out = None
+    for kind in ("json", "csv", "tsv"):
+        lines = to_format(rows, kind).select(F.lit(kind).alias("kind"), F.col("value").alias("line"))
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
+@query("script_runner", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
+def script_runner(t: Tables) -> DataFrame:
+    from lodestar.plans.dialect import run_script
+
+    return run_script(t.views("nation"), "CREATE OR REPLACE TEMPORARY VIEW two AS SELECT * FROM nation WHERE n_regionkey = 2; -- all of; them\nSELECT n_name, n_regionkey FROM two;")[-1]
+
+
+@query("pragma_sources", "SELECT 'n_nationkey' AS name UNION ALL SELECT 'n_name' UNION ALL SELECT 'n_regionkey' UNION ALL SELECT 'ok' UNION ALL SELECT 'UTF-8' UNION ALL SELECT 'nation'")
+def pragma_sources(t: Tables) -> DataFrame:
+    from lodestar.plans.dialect import run_sql
+
+    spark = t.views("nation")
+    out = run_sql(spark, "PRAGMA table_info(nation)").select("name")
+    for text, column in (("PRAGMA integrity_check", "integrity_check"), ("PRAGMA encoding", "encoding")):
+        out = out.unionByName(run_sql(spark, text).select(F.col(column).alias("name")))
+    return out.unionByName(run_sql(spark, "PRAGMA table_list").where("name = 'nation'").select("name"))
+
+
+@query("services", "SELECT (SELECT count(*) FROM nation) AS counted, (SELECT count(*) FROM region) AS cached, (SELECT count(*) FROM events) AS received, 2::BIGINT AS tries, (SELECT min(event_id) + 2 FROM events)::BIGINT AS third, (SELECT count(*) - 3 FROM events) AS waiting")
+def services(t: Tables) -> DataFrame:
+    """Observed counters, a cached result, a topic read as a stream, a queue, a retried action."""
+    from lodestar.operators import services as sv
+    from lodestar.streaming import events as ev
+
+    metrics, cache, tries = sv.Metrics(), sv.Cache(t.spark), []
+    metrics.watch(t.nation, rows=F.count("*")).write.format("noop").mode("overwrite").save()
+    cache.set("regions", t.region)
+    topic = sv.Topic(t.spark, "events", "event_id bigint, user_id bigint")
+    topic.publish(t.events.select("event_id", "user_id"))
+    queue = sv.Queue(topic, "event_id")
+
+    def flaky() -> int:
+        tries.append(1)
+        if len(tries) < 2:
+            raise OSError
+        return len(tries)
+
+    counted, cached, received = sv.in_parallel(lambda: int(metrics.get("rows")), lambda: cache.get("regions").count(), lambda: ev.run_available(topic.subscribe()).count())
+    third = queue.pop(3)[-1]["event_id"]
+    row = (counted, cached, received, sv.retry(flaky, wait=0.01), third, queue.size())
+    return t.spark.createDataFrame([row], "counted bigint, cached bigint, received bigint, tries bigint, third bigint, waiting bigint")
