@@ -287,6 +287,8 @@ class Database:
                 pairs = old.alias("t").join(new.alias("excluded"), key, "inner")
                 sets = update or {c: f"excluded.{c}" for c in old.columns if c not in key}
                 updated = pairs.select(*((F.col(c) if c in key else F.expr(sets[c]) if c in sets else F.col(f"t.{c}")).alias(c) for c in old.columns))
+                for c, e in meta.generated.items():
+                    updated = updated.withColumn(c, F.expr(e).cast(old.schema[c].dataType))
                 keep = old.join(new.select(*key), key, "left_anti")
                 changed = updated.unionByName(new.join(old.select(*key), key, "left_anti"))
         changed = self._stage(changed.select(*old.columns))

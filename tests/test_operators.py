@@ -169,3 +169,97 @@ def test_files(spark, tmp_path):
     assert got == [(1, "A, b", True), (2, None, False), (3, None, False)]
     spark.createDataFrame([], schema).createOrReplaceTempView("copied")
     assert run_sql(spark, f"COPY copied FROM '{path}' WITH (FORMAT csv, HEADER true, NULL '\\N')").count() == 3
+
+
+def test_digests_against_hashlib(spark):
+    """What the oracle's engine has no function for."""
+    import hashlib
+    import hmac
+    import zlib
+
+    from lodestar.plans.catalogue import QUERIES
+
+    for r in QUERIES["fn_hash_python"](spark, "/root/testdata/sf0.001").collect():
+        name = r["gz"].encode()
+        assert (r["s5"], r["s3"], r["hm"], r["crc"]) == (hashlib.sha512(name).hexdigest(), hashlib.sha3_256(name).hexdigest(), hmac.new(b"key", name, "sha256").hexdigest(), zlib.crc32(name))
+
+
+def test_bad_packed_values_are_null(spark):
+    from lodestar.functions import hashing
+
+    assert one(spark, hashing.packed("gunzip", F.lit("no gzip")), hashing.text_code("unpunycode", F.lit("é")), hashing.decrypt(F.lit("AAAA"), "0123456789abcdef")) == (None, None, None)
+
+
+def test_token_bucket_against_a_loop(spark):
+    from lodestar.streaming import events as ev
+
+    rows = [(i, i % 3, float(t)) for i, t in enumerate([0, 1, 2, 3, 3, 3, 4, 9, 9, 9, 9, 30, 30, 31, 31, 31, 31, 31, 31])]
+    frame = spark.createDataFrame(rows, "id int, k int, at double").withColumn("at", F.timestamp_micros((F.col("at") * 1e6).cast("bigint")))
+    want, state = {}, {}
+    for i, k, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        level, last = state.get(k, (2.0, None))
+        level = 2.0 if last is None else min(2.0, level + (at - last) * 0.5)
+        want[i] = level >= 1
+        state[k] = (level - (level >= 1), at)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a key's history comes in several batches
+    try:
+        assert {r["id"]: r["allowed"] for r in ev.token_bucket(frame, "k", "at", "id", 2.0, 0.5).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_engine_statements(spark, tmp_path):
+    from lodestar.plans.engine import Engine
+
+    e = Engine(spark, str(tmp_path / "engine"))
+    e.run("""CREATE TABLE IF NOT EXISTS t (id INT PRIMARY KEY, s VARCHAR(9) DEFAULT 'a;b', n INT CHECK (n >= 0), twice INT GENERATED ALWAYS AS (n * 2), UNIQUE (s, n));
+    INSERT INTO t (id, n) VALUES (1, 1), (2, 2); -- two rows""")
+    rows = lambda q: [tuple(r) for r in e.sql(q).collect()]
+    assert rows("SELECT id, s, twice FROM t ORDER BY id") == [(1, "a;b", 2), (2, "a;b", 4)]
+    assert rows("INSERT INTO t (id, s, n) VALUES (1, 'x', 7), (3, 'y', 3) ON CONFLICT (id) DO UPDATE SET n = t.n + excluded.n RETURNING id, n") in ([(1, 8), (3, 3)], [(3, 3), (1, 8)])
+    assert rows("INSERT INTO t (id, s, n) VALUES (1, 'q', 0) ON CONFLICT DO NOTHING RETURNING id") == []
+    assert rows("DELETE FROM t WHERE n IN (SELECT max(n) FROM t) RETURNING *") == [(1, "a;b", 8, 16)]
+    for bad in ("INSERT INTO t (id, n) VALUES (2, 5)", "INSERT INTO t (id, n) VALUES (9, -1)", "INSERT INTO t (id, n) VALUES (9, 2)", "UPDATE t SET n = -5"):
+        with pytest.raises(ConstraintError):
+            e.sql(bad)
+    for bad in ("DROP TABLE nothing", "SAVEPOINT a; RELEASE b", "SHOW weather", "ALTER TABLE t JUMP", "DROP INDEX nothing", "COMMIT"):
+        with pytest.raises(ValueError):
+            e.run(bad)
+    e.db._saved = []
+    e.run("BEGIN; CREATE TABLE u (a INT); UPDATE t SET s = 'z' WHERE id = 2; ROLLBACK")
+    assert e.db.names() == ["t"] and rows("SELECT s FROM t WHERE id = 2") == [("a;b",)]
+    e.run("CREATE TRIGGER g INSTEAD OF DELETE ON t BEGIN UPDATE t SET s = 'kept' WHERE id IN (SELECT id FROM deleted); END; DELETE FROM t WHERE id = 2")
+    assert rows("SELECT id, s FROM t ORDER BY id") == [(2, "kept"), (3, "y")]
+    e.run("CREATE TEMP TABLE w (a INT)")
+    e.db.close()
+    assert e.db.names() == ["t"]
+
+
+def test_cascades_reach_a_table_that_refers_to_itself(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    db.create("parts", "id bigint, whole bigint", primary=["id"], foreign=[Foreign(["whole"], "parts", ["id"], "CASCADE", "CASCADE")])
+    db.insert("parts", spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, None)], "id bigint, whole bigint"))
+    db.delete("parts", "id = 2")
+    assert sorted(r["id"] for r in db.read("parts").collect()) == [1, 5]
+
+
+def test_schedules_and_machines():
+    import datetime as dt
+
+    from lodestar.functions import rules
+
+    start = dt.datetime(2024, 2, 28, 23, 50)
+    assert rules.cron_next("*/15 0 29 2 *", start, 2) == [dt.datetime(2024, 2, 29, 0, 0), dt.datetime(2024, 2, 29, 0, 15)]
+    assert rules.cron_next("0 9 * * 1-5", dt.datetime(2024, 3, 1, 9), 2) == [dt.datetime(2024, 3, 4, 9), dt.datetime(2024, 3, 5, 9)]
+    for bad in ("* * *", "61 * * * *"):
+        with pytest.raises(ValueError):
+            rules.cron_fields(bad)
+
+
+def test_documents_of_other_formats(spark):
+    from lodestar.functions import formats
+
+    assert one(spark, formats.yaml_parse(F.lit("a:\n  b: [1, 'x']\n  c: {d: true}\nl:\n- p: 1\n  q: null\n- two # note\n")), formats.yaml_parse(F.lit("a:\n    b: 1\n  c: 2")), formats.toml_parse(F.lit("= bad"))) == ('{"a":{"b":[1,"x"],"c":{"d":true}},"l":[{"p":1,"q":null},"two"]}', None, None)
+    assert one(spark, formats.yaml_parse(formats.yaml_stringify(F.lit('{"a":{"b":[1,"x: y"]},"c":"true"}'))), formats.toml_parse(formats.toml_stringify(F.lit('{"a":{"b":[1,2]},"c":"q\\"t"}')))) == ('{"a":{"b":[1,"x: y"]},"c":"true"}', '{"a":{"b":[1,2]},"c":"q\\"t"}')
+    joined = [formats.url_join(F.lit("http://h/a/b?q"), F.lit(p)) for p in ("c", "/c", "../c", "//g/x", "?z", "#f", "http://k/", ".")]
+    assert one(spark, *joined) == ("http://h/a/c", "http://h/c", "http://h/c", "http://g/x", "http://h/a/b?z", "http://h/a/b?q#f", "http://k/", "http://h/a/")
