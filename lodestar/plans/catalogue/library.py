@@ -130,7 +130,7 @@ _WORDS = """list_transform(range(0, 1000), lambda n: trim((CASE WHEN n >= 100 TH
 @query("fn_number_texts", f"""WITH words AS (SELECT {_WORDS} AS w FROM (SELECT ['', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen', 'fourteen', 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen'] AS o,
 ['', '', 'twenty', 'thirty', 'forty', 'fifty', 'sixty', 'seventy', 'eighty', 'ninety'] AS te)),
 n AS (SELECT p_partkey, p_partkey * 997 AS k, p_retailprice AS r, p_size AS s FROM part),
-x AS (SELECT *, trim((CASE WHEN k >= 1000000 THEN w[k // 1000000 + 1] || ' million ' ELSE '' END) || (CASE WHEN k // 1000 % 1000 > 0 THEN w[k // 1000 % 1000 + 1] || ' thousand ' ELSE '' END) || w[k % 1000 + 1]) AS words FROM n, words)
+x AS (SELECT *, CASE WHEN k = 0 THEN 'zero' ELSE trim((CASE WHEN k >= 1000000 THEN w[k // 1000000 + 1] || ' million ' ELSE '' END) || (CASE WHEN k // 1000 % 1000 > 0 THEN w[k // 1000 % 1000 + 1] || ' thousand ' ELSE '' END) || w[k % 1000 + 1]) END AS words FROM n, words)
 SELECT p_partkey, words, words || CASE WHEN k % 100 BETWEEN 11 AND 13 THEN 'th' WHEN k % 10 = 1 THEN 'st' WHEN k % 10 = 2 THEN 'nd' WHEN k % 10 = 3 THEN 'rd' ELSE 'th' END AS ord, s::BIGINT AS back,
 CASE WHEN k * 1000 >= 1073741824 THEN printf('%.2f GB', k * 1000 / 1073741824.0) WHEN k * 1000 >= 1048576 THEN printf('%.2f MB', k * 1000 / 1048576.0) WHEN k > 1 THEN printf('%.2f KB', k * 1000 / 1024.0) ELSE k * 1000 || ' B' END AS size, (s * 1536)::BIGINT AS bytes,
 format('{{:,}}', k) || '.00' AS th, '$' || format('{{:,}}', k) || '.00' AS cu, printf('%.1f%%', s * 100.0) AS pct, lower(to_base(s, 2)) AS b2, lower(hex(s)) AS b16, lower(to_base(s, 36)) AS b36, lpad(s::VARCHAR, 5, '0') AS pad FROM x""")

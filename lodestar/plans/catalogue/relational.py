@@ -288,7 +288,7 @@ def agg_pivot(t: Tables) -> DataFrame:
 
 
 # Set operations
-_A, _C = "SELECT CAST(c_nationkey AS BIGINT) AS k FROM customer", "SELECT CAST(s_nationkey AS BIGINT) AS k FROM supplier"
+_A, _C = "SELECT CAST(c_nationkey AS BIGINT) AS k FROM customer", "SELECT CAST(s_nationkey % 12 AS BIGINT) AS k FROM supplier"
 for _kind in ("UNION", "INTERSECT", "EXCEPT"):
     for _all in (False, True):
         query(f"setop_{_kind.lower()}{'_all' if _all else ''}", f"{_A} {_kind}{' ALL' if _all else ''} {_C}")(
