@@ -38,13 +38,22 @@ class Index:
     postings: DataFrame  # doc, term, tf, positions
     docs: DataFrame  # doc, length
     stem: bool
+    listed: DataFrame | None = None  # doc, terms: an index that isn't stored; queries then keep only their own terms
 
     @staticmethod
     def build(df: DataFrame, key: str, *texts: str, stem: bool = False) -> Index:
         listed = df.select(F.col(key).alias("doc"), terms(F.concat_ws(" ", *texts), stem).alias("terms"))
         at = listed.select("doc", F.posexplode("terms").alias("pos", "term"))
         postings = at.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-        return Index(postings, listed.select("doc", F.size("terms").cast("bigint").alias("length")), stem)
+        return Index(postings, listed.select("doc", F.size("terms").cast("bigint").alias("length")), stem, listed)
+
+    def _chosen(self, words: list[str]) -> DataFrame:
+        """doc, term, tf, length of the postings of a query's terms."""
+        if self.listed is None:
+            return self.postings.where(F.col("term").isin(*words)).select("doc", "term", "tf").join(self.docs, "doc")
+        own = F.filter("terms", lambda x: x.isin(*words))
+        hits = self.listed.select("doc", F.size("terms").cast("bigint").alias("length"), F.explode(own).alias("term"))
+        return hits.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
 
     def plus(self, rows: DataFrame, key: str, *texts: str) -> Index:
         """With the postings of further documents."""
@@ -74,23 +83,23 @@ class Index:
         """doc, tf of the documents that match: `a b` or `a AND b` all terms, `a OR b` any, `a NOT b` without b."""
         wanted, _, refused = re.sub(r"\s+", " ", query).partition(" NOT ") if " NOT " in query else re.sub(r"\s+", " ", query).partition(" not ")
         words = self._query_terms(wanted)
-        hits = self.postings.where(F.col("term").isin(*words)).groupBy("doc").agg(F.sum("tf").alias("tf"), F.count("*").alias("n"))
+        hits = self._chosen(words).groupBy("doc").agg(F.sum("tf").alias("tf"), F.count("*").alias("n"))
         if not re.search(r"\bor\b", wanted, re.I):
             hits = hits.where(F.col("n") == len(words))
         if refused:
-            hits = hits.join(self.postings.where(F.col("term").isin(*self._query_terms(refused))).select("doc").distinct(), "doc", "left_anti")
+            hits = hits.join(self._chosen(self._query_terms(refused)).select("doc").distinct(), "doc", "left_anti")
         return hits.select("doc", "tf")
 
     def rank(self, query: str, ranker: str = "bm25", k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """doc, score of the matching documents."""
         words = self._query_terms(query.partition(" NOT ")[0])
-        chosen = self.postings.where(F.col("term").isin(*words))
+        chosen = self._chosen(words)
         if ranker == "frequency":
             scored = chosen.select("doc", F.col("tf").cast("double").alias("part"))
         else:
             totals = self.docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
             df_ = chosen.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
-            joined = chosen.join(F.broadcast(df_), "term").join(self.docs, "doc").crossJoin(F.broadcast(totals))
+            joined = chosen.join(F.broadcast(df_), "term").crossJoin(F.broadcast(totals))
             if ranker == "bm25":
                 idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
                 part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
