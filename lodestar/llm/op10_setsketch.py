@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialise, pieces, python_ready, text_of
+from lodestar.llm.common import discard, materialise, pieces, python_ready, text_of
 from lodestar.llm.graph import components, joined_components
 
 BASE, TOP, RATE = 1.001, (1 << 16) - 2, 20.0
@@ -274,6 +274,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     source = docs.select("doc_id", text_of().alias("ss_text"))
     id_type = source.schema[0].dataType.simpleString()
     registers = BANDS * ROWS
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialise(df, name))
+        return made[-1]
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -285,9 +290,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
                 made = [sketch(s, registers).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests), pa.array(made, pa.binary())], ["doc_id", "n", "digest", "sketch"])
 
-    rows = materialise(source.mapInArrow(sketches, f"doc_id {id_type}, n bigint, digest binary, sketch binary"), "sketches")
+    rows = kept(source.mapInArrow(sketches, f"doc_id {id_type}, n bigint, digest binary, sketch binary"), "sketches")
     nodes = rows.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = kept(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = np.random.default_rng(5).integers(0, 1 << 63, BANDS, dtype=np.uint64)
@@ -303,14 +308,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
 
     members = nodes.select("node", "sketch").mapInArrow(buckets, "bucket bigint, node bigint, band int")
     leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
-    shared = materialise(members.join(leaders, "bucket"), "buckets")
+    shared = kept(members.join(leaders, "bucket"), "buckets")
 
     stars = shared.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     near = _estimated(stars, nodes.select("node", "n", "sketch"), threshold)
-    best = materialise(near.groupBy("b").agg(F.max_by("a", F.struct("j", "a")).alias("a")).select("a", "b"), "best")
+    best = kept(near.groupBy("b").agg(F.max_by("a", F.struct("j", "a")).alias("a")).select("a", "b"), "best")
 
     wanted = shared.select("node").distinct().join(nodes, "node").select("node", "digest", F.col("least").alias("doc_id"))
-    wanted = materialise(wanted, "wanted")
+    wanted = kept(wanted, "wanted")
     small = wanted.count() <= BROADCAST_ROWS
     chosen = wanted.select("doc_id").where("doc_id is not null").distinct()
     texts = source.join(F.broadcast(chosen) if small else chosen, "doc_id", "left_semi")
@@ -330,17 +335,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in raw]), pa.array(raw, pa.binary()), pa.array(wide, pa.binary())], ["digest", "items", "wide"])
 
     sets = texts.mapInArrow(items, "digest binary, items binary, wide binary").join(wanted.select("node", "digest"), "digest")
-    sets = materialise(sets.groupBy("node").agg(F.first("items").alias("items"), F.first("wide").alias("wide")), "sets")
+    sets = kept(sets.groupBy("node").agg(F.first("items").alias("items"), F.first("wide").alias("wide")), "sets")
 
     tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = materialise(_verified(best, sets, threshold), "links")
+    links = kept(_verified(best, sets, threshold), "links")
     labels = components(links)
     wide = sets.select("node", "wide", (F.octet_length("items") / 8).cast("bigint").alias("n"))
-    blocks = materialise(_blocks(shared), "blocks")
+    blocks = kept(_blocks(shared), "blocks")
     for partners in PARTNERS:
-        found = materialise(_crossing(blocks, labels, wide, threshold, partners), "crossing")
+        found = kept(_crossing(blocks, labels, wide, threshold, partners), "crossing")
         pairs = found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        links = materialise(_verified(pairs, sets, threshold), "links")
+        links = kept(_verified(pairs, sets, threshold), "links")
         if not links.isEmpty():
             labels = joined_components(labels, links)
         tested = tested.unionByName(found.where("a is not null").select("a", "b"))
@@ -351,4 +356,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     of_digest = of_node.join(smallest, "label").select("digest", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of_digest, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = materialise(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")), "near")
+    for table in made:  # only the verdicts are read from now on
+        discard(table)
+    return out
