@@ -39,14 +39,14 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def python_ready(spark: SparkSession) -> None:
+def python_ready(spark: SparkSession, batch: int = 32 << 20) -> None:
     """Let Python workers import this package by name, and bound the bytes of one Arrow batch."""
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

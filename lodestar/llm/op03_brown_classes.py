@@ -9,6 +9,8 @@ whatever their count, over the rest.  The number of classes grows with the vocab
    counts, and later the counts of the classes before and after them, already summed within the chunk; a shard's task
    adds them up as they stream in, and answers each chunk's question for a word's count or class likewise.
 3. A half pass moves the words of every second shard, each to the class that raises the class-bigram likelihood most.
+   A shard's task gets the shard's words first and counts one part of them at a time, in a table of at most CELLS cells
+   that every chunk's counts are added to in place, so that what it holds depends on neither corpus nor vocabulary.
    Only the class-by-class matrix comes to the driver.  Passes end when the mutual information of neighbouring
    classes settles (a whole pass gains less than SETTLED of it), or falls, or after `passes`.
 
@@ -39,8 +41,12 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import discard, materialise, pieces, python_ready, scratch, text_of
 
 CLASSES, PASSES, SETTLED, WEIGHT, SMOOTH, SHARD_WORDS = 2.0, 4, 0.05, 0.8, 1.0, 200_000
-#: Entries that a shard's task adds up at once, and whose scores it holds at once.
-HELD, BLOCK = 4_000_000, 50_000
+#: Entries that a shard's task adds up at once (beside one for each of its words), and whose scores it holds at once.
+HELD, BLOCK = 1_000_000, 50_000
+#: Cells (word by context) that a shard's task counts at once, 8 bytes each.
+CELLS = 8_000_000
+#: Bytes of an Arrow batch: some less than pieces() cuts at, so that a batch of texts is one chunk, and chunks come one by one.
+BATCH = 7 << 20
 log = logging.getLogger(__name__)
 
 
@@ -123,7 +129,8 @@ def chunked(source: DataFrame, buckets: int) -> DataFrame:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        yield from (dict(zip(batch.schema.names, row, strict=True)) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        columns = list(zip(batch.schema.names, batch.columns, strict=True))
+        yield from ({name: c[i].as_py() for name, c in columns} for i in range(batch.num_rows))  # a row's copies at a time
 
 
 def _cuts(words: np.ndarray, bits: int) -> np.ndarray:
@@ -246,9 +253,15 @@ def _first_classes(words: np.ndarray, frequent: dict[int, int], width: int) -> n
     return out
 
 
-def contexts(told: DataFrame, frequent: dict[int, int], width: int, bits: int, shards: tuple[int, int]) -> DataFrame:
-    """Of each chunk and shard to move: the words, their classes, and the counts of classes after them (code: class) and before
-    them (code: width + class), word by word.  Shard -1 has the chunk's class-by-class counts instead."""
+def part_bits(bits: int, width: int, most: int) -> int:
+    """Further bits of a hash that cut a shard of `most` words into parts of about CELLS cells at most."""
+    return int(np.ceil(np.log2(max(1, most * 2 * width / CELLS))))
+
+
+def contexts(told: DataFrame, frequent: dict[int, int], width: int, bits: int, shards: tuple[int, int], finer: int = 0) -> DataFrame:
+    """Of each chunk and part (`finer` further bits) of a shard to move: the words, their classes, and the counts of classes after
+    them (code: class) and before them (code: width + class), word by word.  Shard -1 has the chunk's class-by-class
+    counts instead."""
     code = np.uint8 if 2 * width <= 256 else np.uint16
     remainder, divisor = shards
 
@@ -259,31 +272,34 @@ def contexts(told: DataFrame, frequent: dict[int, int], width: int, bits: int, s
             flow, held, lengths = np.frombuffer(row["flow"], np.uint32).astype(np.int64), np.frombuffer(row["held"], bool), np.frombuffer(row["lengths"], np.uint32)
             use = np.repeat(~held, lengths)
             before, after = np.concatenate([[0], flow[:-1]])[use], flow[use]
-            out: list[tuple] = [(-1, b"", b"", b"", b"", np.bincount(classes[before] * width + classes[after], minlength=width * width).tobytes(), b"")]
-            cuts, place = _cuts(words, bits), np.full(len(words) + 1, -1)
-            moving = [s for s in np.flatnonzero(np.diff(cuts)).tolist() if s % divisor == remainder]
-            chosen = np.concatenate([np.zeros(0, np.int64), *(np.arange(cuts[s], cuts[s + 1]) for s in moving)])
+            out: list[tuple] = [(-1, 0, b"", b"", b"", b"", np.bincount(classes[before] * width + classes[after], minlength=width * width).tobytes(), b"")]
+            cuts, place = _cuts(words, bits + finer), np.full(len(words) + 1, -1)
+            moving = [p for p in np.flatnonzero(np.diff(cuts)).tolist() if (p >> finer) % divisor == remainder]
+            chosen = np.concatenate([np.zeros(0, np.int64), *(np.arange(cuts[p], cuts[p + 1]) for p in moving)])
             place[1 + chosen] = np.arange(len(chosen))
-            total = np.zeros(len(chosen) * 2 * width, np.int64)
+            cells = []
             for own, other, shift in ((before, after, 0), (after, before, width)):
                 at = place[own]
-                total += np.bincount(at[at >= 0] * (2 * width) + shift + classes[other[at >= 0]], minlength=len(total))
-            full = np.flatnonzero(total)
-            n, entries = total[full], np.bincount(full // (2 * width), minlength=len(chosen)) if len(chosen) else np.zeros(0, np.int64)
+                cells.append(at[at >= 0] * (2 * width) + shift + classes[other[at >= 0]])
+            cells = np.concatenate(cells)
+            cells.sort()
+            starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
+            n, full = np.diff(np.append(starts, len(cells))), cells[starts]
+            del cells
+            entries = np.bincount(full // (2 * width), minlength=len(chosen)) if len(chosen) else np.zeros(0, np.int64)
             codes = (full % (2 * width)).astype(code)
-            del total
             ends, done = np.concatenate([[0], np.cumsum(entries)]), 0
-            for s in moving:
-                own = slice(done, done + cuts[s + 1] - cuts[s])
+            for p in moving:
+                own = slice(done, done + cuts[p + 1] - cuts[p])
                 done = own.stop
                 seen = np.flatnonzero(entries[own])  # words of held-out texts alone have no entries
                 if len(seen):
                     part = slice(ends[own.start], ends[own.stop])
                     large = np.flatnonzero(n[part] > 254)
-                    out.append((s, words[cuts[s] : cuts[s + 1]][seen].tobytes(), classes[1 + cuts[s] : 1 + cuts[s + 1]][seen].astype(np.uint16).tobytes(), entries[own][seen].astype(np.uint16).tobytes(), codes[part].tobytes(), np.minimum(n[part], 255).astype(np.uint8).tobytes(), n[part][large].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 7))], ["shard", "words", "classes", "entries", "codes", "n", "large"])
+                    out.append((p >> finer, p, words[cuts[p] : cuts[p + 1]][seen].tobytes(), classes[1 + cuts[p] : 1 + cuts[p + 1]][seen].astype(np.uint16).tobytes(), entries[own][seen].astype(np.uint16).tobytes(), codes[part].tobytes(), np.minimum(n[part], 255).astype(np.uint8).tobytes(), n[part][large].tobytes()))
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], pa.int64()) for k in range(2)), *(pa.array([r[k] for r in out], pa.binary()) for k in range(2, 8))], ["shard", "part", "words", "classes", "entries", "codes", "n", "large"])
 
-    return told.select("words", "flow", "held", "lengths", "classes").mapInArrow(run, "shard bigint, words binary, classes binary, entries binary, codes binary, n binary, large binary")
+    return told.select("words", "flow", "held", "lengths", "classes").mapInArrow(run, "shard bigint, part bigint, words binary, classes binary, entries binary, codes binary, n binary, large binary")
 
 
 def _gain(x: np.ndarray) -> np.ndarray:
@@ -318,37 +334,33 @@ def best_classes(owner: np.ndarray, codes: np.ndarray, n: np.ndarray, classes: n
     return out
 
 
-def exchange(sent: DataFrame, bigram: np.ndarray) -> DataFrame:
-    """shard, words, values: the classes of the words of the moved shards."""
+def exchange(sent: DataFrame, counts: DataFrame, bigram: np.ndarray, bits: int, shards: tuple[int, int], finer: int = 0) -> DataFrame:
+    """shard, words, values: the classes of the words of the moved shards.  counts: shard, words (all training words)."""
     width = len(bigram)
     code = np.uint8 if 2 * width <= 256 else np.uint16
+    remainder, divisor = shards
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in groupby(_rows(batches), lambda r: r["shard"]):
-            words, classes = np.zeros(0, np.int64), np.zeros(0, np.uint16)
-            keys, sums, waiting, parts = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, []
-
-            def reduce() -> None:
-                nonlocal words, classes, keys, sums, waiting, parts
-                known, at = np.unique(np.concatenate([words, *(x[0] for x in parts)]), return_index=True)
-                own = np.concatenate([classes, *(x[1] for x in parts)])[at]
-                moved = [np.searchsorted(known, words)[keys // (2 * width)] * (2 * width) + keys % (2 * width)]
-                moved += [np.repeat(np.searchsorted(known, w), e) * (2 * width) + c for w, _, e, c, _ in parts]
-                keys, sums = _add(np.concatenate(moved), np.concatenate([sums, *(x[4] for x in parts)]))
-                words, classes, waiting, parts = known, own, 0, []
-
-            for row in rows:
-                n = np.frombuffer(row["n"], np.uint8).astype(np.int64)
-                n[n == 255] = np.frombuffer(row["large"], np.int64)
-                parts.append((np.frombuffer(row["words"], np.int64), np.frombuffer(row["classes"], np.uint16), np.frombuffer(row["entries"], np.uint16), np.frombuffer(row["codes"], code).astype(np.int64), n))
-                waiting += len(n)
-                if waiting > HELD:
-                    reduce()
-            reduce()
-            out = best_classes(keys // (2 * width), keys % (2 * width), sums, classes, bigram)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([words.tobytes()], pa.binary()), pa.array([out.astype(np.uint16).tobytes()], pa.binary())], ["shard", "words", "values"])
-
-    return _sharded(sent.where("shard >= 0")).mapInArrow(run, "shard bigint, words binary, values binary")
+            words = np.frombuffer(next(rows)["words"], np.int64)  # the shard's own row comes first
+            cuts, out = _cuts(words, bits + finer), np.zeros(len(words), np.uint16)
+            for p, parts in groupby(rows, lambda r: r["part"]):
+                known = words[cuts[p] : cuts[p + 1]]
+                classes, total = np.zeros(len(known), np.uint16), np.zeros(len(known) * 2 * width, np.int64)
+                for row in parts:
+                    n = np.frombuffer(row["n"], np.uint8).astype(np.int64)
+                    n[n == 255] = np.frombuffer(row["large"], np.int64)
+                    at = np.searchsorted(known, np.frombuffer(row["words"], np.int64))
+                    classes[at] = np.frombuffer(row["classes"], np.uint16)
+                    # A chunk names each cell once.
+                    total[np.repeat(at * (2 * width), np.frombuffer(row["entries"], np.uint16)) + np.frombuffer(row["codes"], code)] += n
+                full = np.flatnonzero(total)
+                out[cuts[p] : cuts[p + 1]] = best_classes(full // (2 * width), full % (2 * width), total[full], classes, bigram)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([words.tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary())], ["shard", "words", "values"])
+
+    own = counts.where((F.col("shard") % divisor) == remainder).select("shard", F.lit(-1).cast("long").alias("part"), "words", *(F.lit(None).cast("binary").alias(c) for c in ("classes", "entries", "codes", "n", "large")))
+    both = own.unionByName(sent.where("shard >= 0")).repartition("shard").sortWithinPartitions("shard", "part")
+    return both.mapInArrow(run, "shard bigint, words binary, values binary")
 
 
 def _matrix(sent: DataFrame, width: int) -> np.ndarray:
@@ -385,7 +397,7 @@ def score(docs: DataFrame, width: int | None = None, passes: int = PASSES, weigh
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.  width: number of classes, from the
     vocabulary unless given."""
     spark = docs.sparkSession
-    python_ready(spark)
+    python_ready(spark, BATCH)
     source = docs.select("doc_id", text_of().alias("bc_text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     buckets = max(1, min(source.rdd.getNumPartitions(), 50_000))
@@ -396,24 +408,24 @@ def score(docs: DataFrame, width: int | None = None, passes: int = PASSES, weigh
         low = chunks.select(F.explode("low").alias("w")).agg(F.count_distinct("w")).first()[0]
         bits = max(3, int(np.ceil(np.log2(max(1, low * 256 / SHARD_WORDS)))))
         counts = materialise(tally(chunks, bits), "counts")
-        sums = counts.agg(F.sum("total").alias("n"), F.sum("v").alias("v")).first()
+        sums = counts.agg(F.sum("total").alias("n"), F.sum("v").alias("v"), F.max("v").alias("most")).first()
         ends = chunks.agg(F.sum("ends")).first()[0] or 0
         tokens, types = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
         width = width or max(4, round(CLASSES * types**0.25))
-        frequent = _frequent(counts, width - 2)
+        frequent, finer = _frequent(counts, width - 2), part_bits(bits, width, sums["most"] or 0)
 
         answers: dict[int, DataFrame] = {}
         gathered = lambda: answers[0].unionByName(answers[1]) if len(answers) == 2 else answers.get(0)
         history: list[float] = []
         for turn in range(2 * passes + 1):
             half = (turn % 2, 2)
-            sent = materialise(contexts(_told(chunks, buckets, classes=gathered()), frequent, width, bits, half), "contexts")
+            sent = materialise(contexts(_told(chunks, buckets, classes=gathered()), frequent, width, bits, half, finer), "contexts")
             bigram = _matrix(sent, width)
             history.append(information(bigram))
             log.info("half pass %d: %d classes, mutual information %.4f", turn, width, history[-1])
             if turn == 2 * passes or turn > 2 and history[-1] - history[-3] <= SETTLED * abs(history[-1]):
                 break
-            state = materialise(exchange(sent, bigram), "classes")
+            state = materialise(exchange(sent, counts, bigram, bits, half, finer), "classes")
             discard(sent)
             answers[turn % 2] = materialise(answer(chunks, state, bits, np.dtype(np.uint16), width - 1, half), "answers")
 
@@ -441,6 +453,7 @@ def score(docs: DataFrame, width: int | None = None, passes: int = PASSES, weigh
         judged = told.select("ids", "words", "flow", "held", "lengths", "classes", "counts").mapInArrow(judge, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
         out = materialise(judged, "scores")
     finally:
+        python_ready(spark)
         discard(chunks)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     out = out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -161,6 +161,58 @@ def test_brown_exchange_against_brute_force():
     assert op03_brown_classes.information(recount(classes)) > 0.9 * op03_brown_classes.information(recount(hidden))
 
 
+def test_brown_counts_in_bounded_memory():
+    """What a task holds doesn't grow with words times classes: neither for a chunk's contexts nor for a shard's sums."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Rows:  # hands out the function that Spark would run over batches
+        def __getattr__(self, name):
+            return lambda *_, **__: self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    r, width, size = np.random.default_rng(2), 400, 40_000
+    words = np.sort(r.choice(1 << 62, size, replace=False).astype(np.int64))
+    flow, no = r.integers(0, size + 1, 200_000).astype(np.uint32), pa.array([[]], pa.list_(pa.struct([("shard", pa.int64()), ("values", pa.binary())])))
+    chunk = pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()]) for x in (words, flow, np.zeros(1, bool), np.array([len(flow)], np.uint32))), no], ["words", "flow", "held", "lengths", "classes"])
+    tracemalloc.start()
+    sent = list(op03_brown_classes.contexts(Rows(), {}, width, 3, (0, 2))(iter([chunk])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20  # a table of all words and contexts would be 128 MB
+    got = Counter()
+    for row in (x for batch in sent for x in batch.to_pylist() if x["shard"] >= 0):
+        n = np.frombuffer(row["n"], np.uint8).astype(np.int64)
+        n[n == 255] = np.frombuffer(row["large"], np.int64)
+        cells = zip(np.repeat(np.frombuffer(row["words"], np.int64), np.frombuffer(row["entries"], np.uint16)).tolist(), np.frombuffer(row["codes"], np.uint16).tolist(), n.tolist(), strict=True)
+        got.update({(w, c): k for w, c, k in cells})
+    classes = lambda w: width - 1 if w else 0
+    pairs, want = zip([0, *flow[:-1].tolist()], flow.tolist(), strict=True), Counter()
+    moved = {1 + i: int(w) for i, w in enumerate(words) if (int(w) >> 60) % 2 == 0}
+    for before, after in pairs:
+        want.update([(moved[before], classes(after))] if before in moved else [])
+        want.update([(moved[after], width + classes(before))] if after in moved else [])
+    assert got == want
+    assert all(size * 2 * width / 2 ** op03_brown_classes.part_bits(3, width, size) <= op03_brown_classes.CELLS for size, width in ((10, 4), (200_000, 70), (200_000, 112), (200_000, 400)))
+
+
+def test_brown_parts_of_shards(spark, monkeypatch):
+    """Shards counted part by part give the scores of shards counted at once."""
+    import random
+
+    r = random.Random(5)
+    texts = [(i, " ".join(f"{'ab'[k % 2]}{int(r.paretovariate(0.6)) % 500}" for k in range(60)), "en", "h", 1) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    whole = sorted(op03_brown_classes.score(docs, passes=1).select("doc_id", "score").collect())
+    monkeypatch.setattr(op03_brown_classes, "CELLS", 100)
+    assert op03_brown_classes.part_bits(3, 10, 125) > 4
+    assert sorted(op03_brown_classes.score(docs, passes=1).select("doc_id", "score").collect()) == whole
+
+
 def test_brown_buckets_are_sparks(spark):
     from pyspark.sql import functions as F
 
