@@ -11,9 +11,14 @@ library cuts out first, by default), whole texts go through the library.
 from __future__ import annotations
 
 import base64
+import gc
 import re
+import threading
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +26,12 @@ import pyarrow.compute as pc
 
 #: Words that a Python worker keeps in each of two generations, some 200 bytes each; words in use move to the newer one.
 CACHE_WORDS = 450_000
+#: Runs of signs after words that it keeps.
+CACHE_SIGNS = 10_000
+#: Signs that no match of the split pattern joins to the letters before them (an apostrophe may begin one with letters).
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Seconds without work after which a worker gives its kept words back: the process outlives its tasks.
+IDLE = 2.0
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: the split pattern of the byte-level vocabularies, for which the cuts are safe.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -75,43 +86,45 @@ class ByteBpe:
         self.from_byte = {b: c for b, c in enumerate(byte_chars())}
         self.kept: dict[bool, list[dict[str, bytes]]] = {True: [{}, {}], False: [{}, {}]}
         self.signs: dict[str, bytes] = {}
+        self.shown = np.array([ord(c) for c in byte_chars()], "<u2")
+        self._timer: threading.Timer | None = None
         self._bytes: list[bytes] | None = None
 
     def _encode(self, part: str) -> bytes:
-        if part.isalpha() or part[:1] == " " and part[1:].isalpha():
-            if part.isascii():
-                return array("I", [t.id for t in self.model.tokenize(part.replace(" ", self.from_byte[32]))]).tobytes()
-            words = [part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.from_byte)]
-        else:
-            words = [w for w, _ in self.split.pre_tokenize_str(part)]
-        return array("I", [t.id for w in words for t in self.model.tokenize(w)]).tobytes()
+        return array("I", [t.id for w, _ in self.split.pre_tokenize_str(part) for t in self.model.tokenize(w)]).tobytes()
 
     def _many(self, words: list[str], space: bool) -> list[bytes]:
-        kept = self.kept[space]
-        if len(kept[0]) > CACHE_WORDS:
-            kept[:] = {}, kept[0]
-        known, older = kept
+        if len(self.kept[space][0]) > CACHE_WORDS:
+            self.kept[space] = [{}, self.kept[space][0]]
+        known, older = self.kept[space]
         found = list(map(known.get, words))
-        for i, ids in enumerate(found):
-            if ids is None:
-                found[i] = self._one(words[i], space, known, older)
+        new = [i for i, ids in enumerate(found) if ids is None]
+        missing = list(map(words.__getitem__, new))
+        cores = [core if (core := w.rstrip(_SIGNS)).isalpha() else w for w in missing]  # signs after letters are a match of their own
+        fresh = list({w for w in cores if w not in known})
+        known.update((w, ids) for w, ids in zip(fresh, map(older.get, fresh), strict=True) if ids is not None)
+        fresh, tokenize = [w for w in fresh if w not in known], self.model.tokenize
+        plain = [w for w in fresh if w.isalpha()]
+        known.update([(w, array("I", [t.id for t in tokenize(x)]).tobytes()) for w, x in zip(plain, self._shown(plain, space), strict=True)])
+        known.update([(w, self._encode(" " + w if space else w)) for w in fresh if not w.isalpha()])
+        tails = list(map(str.removeprefix, missing, cores))
+        signs = {tail: self._sign(tail) for tail in set(tails)}
+        for i, ids in zip(new, map(add, map(known.__getitem__, cores), map(signs.__getitem__, tails)), strict=True):
+            found[i] = ids
         return found
 
-    def _one(self, word: str, space: bool, known: dict, older: dict) -> bytes:
-        ids = older.get(word)
-        if ids is None:
-            last = word[-1:]
-            if last in ".,!?:;" and word[:-1].isalpha():  # the sign is a match of its own
-                core = known.get(word[:-1])
-                if core is None:
-                    core = self._one(word[:-1], space, known, older)
-                return core + self._sign(last)
-            ids = self._encode(" " + word if space else word)
-        known[word] = ids
-        return ids
+    def _shown(self, words: list[str], space: bool) -> list[str]:
+        """The characters that stand for the bytes of each word, and of a space before it; words without line feeds."""
+        if not words:
+            return []
+        lead = " " if space else ""
+        raw = np.frombuffer((lead + f"\n{lead}".join(words)).encode("utf-8", "surrogatepass"), np.uint8)
+        return self.shown[raw].tobytes().decode("utf-16-le").split(self.from_byte[10])
 
     def _sign(self, sign: str) -> bytes:
         if sign not in self.signs:
+            if len(self.signs) >= CACHE_SIGNS:
+                self.signs.clear()
             self.signs[sign] = self._encode(sign)
         return self.signs[sign]
 
@@ -126,8 +139,34 @@ class ByteBpe:
         """As the library does it, added tokens included."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def forget(self) -> None:
+        """Give the kept words back to the system."""
+        self.kept = {True: [{}, {}], False: [{}, {}]}
+        pa.default_memory_pool().release_unused()
+
+    @contextmanager
+    def at_work(self) -> Iterator[None]:
+        """While a task encodes; words are forgotten once no task has come for IDLE seconds.  No garbage collection meanwhile:
+        encoding makes no cycles, and the collector would walk through all words again and again."""
+        if self._timer:
+            self._timer.cancel()
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            yield
+        finally:
+            if collects:
+                gc.enable()
+            self._timer = threading.Timer(IDLE, self.forget)
+            self._timer.daemon = True
+            self._timer.start()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's ids begin (one more entry than texts).  Null counts as empty."""
+        with self.at_work():
+            return self._encoded(texts)
+
+    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = np.full(len(texts), not self.apart)
         for content in self.added:
@@ -135,10 +174,15 @@ class ByteBpe:
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
         at = np.asarray(lists.offsets, dtype=np.int64)
         coded = lists.flatten().dictionary_encode()
-        index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = at - at[0]
-        bad = np.fromiter((w != "\n" and (not w or w.strip() != w) for w in words), bool, len(words))
-        feed = np.fromiter((w == "\n" for w in words), bool, len(words))[index]
+        bad = np.array(list(map(str.__ne__, words, map(str.strip, words))), bool)
+        line, nothing = (pc.index(coded.dictionary, w).as_py() for w in ("\n", ""))  # -1: not there
+        if nothing >= 0:
+            bad[nothing] = True
+        if line >= 0:
+            bad[line] = False
+        feed = index == line
         plain = np.zeros(len(index), bool)  # parts without a space before them
         plain[at[:-1]] = True
         plain[1:] |= feed[:-1]
@@ -151,15 +195,14 @@ class ByteBpe:
         bare_index = np.unique(index[plain])
         bare_place = np.full(len(words), -1, np.int64)
         bare_place[bare_index] = np.arange(len(bare_index))
-        good = [i for i in range(len(words)) if not bad[i]]
-        table: list[bytes] = [b""] * len(words)
-        for i, ids in zip(good, self._many([words[i] if words[i] != "\n" else "n" for i in good], True), strict=True):
-            table[i] = ids
-        bare_good = [i for i in bare_index.tolist() if not bad[i]]
-        bare: list[bytes] = [b""] * len(bare_index)
-        for i, ids in zip(bare_good, self._many([words[i] for i in bare_good], False), strict=True):
-            bare[bare_place[i]] = ids
-        table += bare
+        table: list[bytes] = [b""] * (len(words) + len(bare_index))
+        spaced = np.ones(len(words), bool)  # words that stand after a space somewhere
+        spaced[bare_index] = False
+        spaced[index[~plain]] = True
+        for use, first, space in ((np.flatnonzero(spaced & ~bad), None, True), (np.flatnonzero(~bad[bare_index]), bare_index, False)):
+            own = (use if first is None else first[use]).tolist()
+            for i, ids in zip((use if space else use + len(words)).tolist(), self._many(list(map(words.__getitem__, own)), space), strict=True):
+                table[i] = ids
         code = np.where(plain, len(words) + bare_place[index], index)
         width = np.fromiter(map(len, table), np.int64, len(table)) // 4
         flat = np.frombuffer(b"".join(table), np.uint32)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from lodestar.llm import bpe
 from lodestar.llm.common import materialise, pieces, python_ready, text_of
 
+#: Bytes of an Arrow batch, some less than pieces() cuts at.
+BATCH = 7 << 20
 LENGTH, END_ID, HASHED, DIMENSIONS, BITS, LEAST = 1024, 0, 256, 4, 8, 64
 PIECES = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -61,23 +63,23 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, least: int = LEAST) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    python_ready(docs.sparkSession)
+    python_ready(docs.sparkSession, BATCH)
     source = docs.select("doc_id", text_of().alias("cp_text"))
     id_type = source.schema[0].dataType.simpleString()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.load(tokenizer)
         size = own.tokenizer.get_vocab_size()
-        rows, kind = projection(size), np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        rows, kind = np.ascontiguousarray(projection(size).T, np.float64), np.dtype("<u2" if size <= 1 << 16 else "<u4")
         for batch in batches:
             for part in pieces(batch, "cp_text"):
                 flat, at = own.encode(part.column("cp_text"))
                 n = np.diff(at)
-                sums = np.zeros((part.num_rows, rows.shape[1]))
+                sums = np.zeros((part.num_rows, len(rows)))
                 full = np.flatnonzero(n)
                 if len(full):
-                    for d in range(rows.shape[1]):
-                        sums[full, d] = np.add.reduceat(rows[flat, d], at[:-1][full], dtype=np.float64)
+                    for d, row in enumerate(rows):
+                        sums[full, d] = np.add.reduceat(row[flat], at[:-1][full])
                 mean = sums / np.maximum(n, 1)[:, None]
                 grid = np.minimum((1 / (1 + np.exp(-10 * mean)) * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
                 small, end = flat.astype(kind), np.array([END_ID], kind).tobytes()

@@ -377,3 +377,38 @@ def test_co_training_held_out(spark):
     got = op08_cotraining.co_train(docs, labels.where("doc_id % 4 <> 1")).join(labels.where("doc_id % 4 = 1").withColumnRenamed("quality", "truth"), "doc_id").toPandas()
     assert ((got["quality"] >= 0.5) == (got["truth"] == 1)).mean() > 0.93
     assert ((got["toxicity"] >= 0.5) == (got["toxic"] == 1)).mean() > 0.93
+
+
+def test_words_with_signs_are_encoded_once(monkeypatch):
+    """Runs of signs after letters are a match of their own: the letters are encoded once, as the library does it."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    own, library = bpe.ByteBpe(Tokenizer.from_file(path), True), Tokenizer.from_file(path)
+    tails = ["", ".", "?!", "$$", "%),", "'", "'s", "'!", "''s", "--", ".'s", "_", "…", "1.", "½.", "*&#@"]
+    words = [w + t for w in ("word", "naïve", "日本語", "İx", "ǅ", "s", "") for t in tails]
+    texts = [" ".join(words), "\n".join(words), *words, " ".join(reversed(words)), "x  " + " \t".join(words)]
+    ids, at = own.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    slow, encode = [], own._encode
+    monkeypatch.setattr(own, "_encode", lambda part: slow.append(part) or encode(part))
+    own.encode(pa.array([" ".join(f"{a}{b}{t}" for a in "klmn" for b in ("ab", "éb") for t in ("%%", "$&", "!?"))]))
+    assert not [x for x in slow if any(c.isalpha() for c in x)]
+
+
+def test_idle_workers_forget_words(monkeypatch):
+    """Python workers outlive their tasks, and other stages need the memory."""
+    import gc
+    import time
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "IDLE", 0.2)
+    own = bpe.ByteBpe(Tokenizer.from_file(P.path("byte_bpe_50k.json")), True)
+    first = own.encode(pa.array(["some words here"]))[0].tolist()
+    assert any(own.kept[True]) and gc.isenabled()
+    time.sleep(1)
+    assert not any(own.kept[True]) and not any(own.kept[False])
+    assert own.encode(pa.array(["some words here"]))[0].tolist() == first
