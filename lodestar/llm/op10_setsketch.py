@@ -43,6 +43,8 @@ PARTNERS = (1, 8, None)
 #: Pairs whose short sketches a task compares at once.
 SLAB = 1 << 15
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch, some less than pieces() cuts at: both sides of a batch hold it, in buffers of up to twice that.
+BATCH = 7 << 20
 GROUP = ["bucket", "p", "q"]
 _U = np.uint64
 
@@ -270,7 +272,7 @@ def _crossing(blocks: DataFrame, labels: DataFrame, wide: DataFrame, threshold:
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles (long), component_id (smallest doc_id that links reach), kept (boolean)."""
-    python_ready(docs.sparkSession)
+    python_ready(docs.sparkSession, BATCH)
     source = docs.select("doc_id", text_of().alias("ss_text"))
     id_type = source.schema[0].dataType.simpleString()
     registers = BANDS * ROWS

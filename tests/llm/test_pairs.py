@@ -233,3 +233,16 @@ def test_near_dedup_judges_rows(spark):
     rows = [(1, one), (None, one), (None, one), (2, one), (2, two), (2, two), (None, three), (None, three), (None, None)]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF).collect()
     assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([(1, one), (2, two), (None, three), (None, None)], "doc_id bigint, text string").collect()))
+
+
+def test_arrow_batches_are_bounded(empty):
+    """A batch of sets or texts is held by the executor and its worker, so near dedup and packing keep it under the 8 MB of a piece."""
+    import public_tokenizers
+
+    from lodestar.llm import op07_curve_packing, op10_setsketch
+
+    spark = empty.sparkSession
+    for run in (op10_setsketch.near_duplicates, lambda d: op07_curve_packing.pack(d, public_tokenizers.path("byte_bpe_50k.json"))):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+        run(empty)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) < 8 << 20
