@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from lodestar.functions import arrays, dates, jsons, maths, strings
 from lodestar.operators import joins, relational
 from lodestar.operators.fulltext import Index
+from lodestar.plans.catalogue import QUERIES
 from lodestar.plans.dialect import rewrite, run_script, run_sql, split_statements
 from lodestar.sources import delimited
 from lodestar.sources.tables import ConstraintError, Database, Foreign, View
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, *columns):
     return tuple(spark.range(1).select(*columns).first())
@@ -58,6 +61,26 @@ def test_interval_and_salted(spark):
     assert joins.salted(large, small, "k", 4, "left").count() == 51
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "full"])
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_grouped_join_is_the_join(spark, how, null_safe):
+    left = spark.createDataFrame([(1, "a")] * 3 + [(1, "b"), (2, "c"), (None, "d"), (None, "d"), (4, None)], "k int, v string")
+    right = spark.range(5000).select(F.lit(1).cast("long").alias("k2"), F.col("id").alias("w")).union(spark.sql("VALUES (2L, -1L), (2L, -1L), (NULL, -2L), (9L, NULL)"))
+    on = left.k.eqNullSafe(right.k2) if null_safe else left.k == right.k2
+    got = joins.grouped(left, right, [("k", "k2")], how, null_safe)
+    assert got.columns == ["k", "v", "k2", "w"]
+    assert got.exceptAll(left.join(right, on, how)).count() == 0 and got.count() == left.join(right, on, how).count()
+
+
+def test_join_full_holds_no_key_whole(spark):
+    plan = _plan(QUERIES["join_full"](spark, SF))
+    assert "FullOuter" not in plan and "REPARTITION_BY_NUM" in plan
+
+
 def test_fixpoint_ends_on_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "a int, b int")
     to = edges.select(F.col("a").alias("m"), F.col("b").alias("c"))
