@@ -162,7 +162,7 @@ def join_self(t: Tables) -> DataFrame:
 @query("join_using", "SELECT k, c_name, s_name FROM (SELECT c_nationkey AS k, c_name FROM customer WHERE c_acctbal > 9000) JOIN (SELECT s_nationkey AS k, s_name FROM supplier) USING (k)")
 def join_using(t: Tables) -> DataFrame:
     c = t.customer.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"), "c_name")
-    return c.join(t.supplier.select(F.col("s_nationkey").alias("k"), "s_name"), ["k"])
+    return joins.grouped(c, t.supplier.select(F.col("s_nationkey").alias("k2"), "s_name"), [("k", "k2")]).drop("k2")
 
 
 @query("join_natural", "SELECT * FROM (SELECT n_nationkey AS nk, n_name FROM nation) NATURAL JOIN (SELECT s_nationkey AS nk, s_suppkey FROM supplier)")

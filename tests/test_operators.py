@@ -81,6 +81,10 @@ def test_join_full_holds_no_key_whole(spark):
     assert "FullOuter" not in plan and "REPARTITION_BY_NUM" in plan
 
 
+def test_join_using_deals_each_key(spark):
+    assert "REPARTITION_BY_NUM" in _plan(QUERIES["join_using"](spark, SF))
+
+
 def test_join_null_safe_deals_each_key(spark):
     assert "REPARTITION_BY_NUM" in _plan(QUERIES["join_null_safe"](spark, SF))
 
