@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import arrays, dates, jsons, maths, strings
 from lodestar.operators import joins, relational
 from lodestar.operators.fulltext import Index
-from lodestar.plans.catalogue import QUERIES
+from lodestar.plans.catalogue import QUERIES, SQL
 from lodestar.plans.dialect import rewrite, run_script, run_sql, split_statements
 from lodestar.sources import delimited
 from lodestar.sources.tables import ConstraintError, Database, Foreign, View
@@ -89,6 +90,13 @@ def test_join_null_safe_deals_each_key(spark):
     assert "REPARTITION_BY_NUM" in _plan(QUERIES["join_null_safe"](spark, SF))
 
 
+def test_minmax_by_takes_the_first_of_equal_prices(spark, tmp_path):
+    rows = [(1, 7, 5.0), (2, 7, 5.0), (3, 7, None), (4, 8, 2.0), (5, 8, 1.0), (6, 8, 1.0), (7, 8, 2.0), (8, 9, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in QUERIES["agg_minmax_by"](spark, str(tmp_path)).collect()}
+    assert got == set(duckdb.sql(SQL["agg_minmax_by"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")).fetchall()) == {(7, 1, 1), (8, 4, 5), (9, None, None)}
+
+
 def test_fixpoint_ends_on_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "a int, b int")
     to = edges.select(F.col("a").alias("m"), F.col("b").alias("c"))
