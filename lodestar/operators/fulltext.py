@@ -39,11 +39,15 @@ class Index:
     docs: DataFrame  # doc, length
     stem: bool
     listed: DataFrame | None = None  # doc, terms: an index that isn't stored; queries then keep only their own terms
+    whole: int = 0  # documents when all was last written; then the changes since, and the documents they named
+    changes: int = 0
+    moved: int = 0
 
     @staticmethod
     def build(df: DataFrame, key: str, *texts: str, stem: bool = False) -> Index:
         listed = df.select(F.col(key).alias("doc"), terms(F.concat_ws(" ", *texts), stem).alias("terms"))
-        at = listed.select("doc", F.posexplode("terms").alias("pos", "term"))
+        # Documents are dealt while they are texts: a row for each word is never shuffled.
+        at = df.select(F.col(key).alias("doc"), F.concat_ws(" ", *texts).alias("text")).repartition("doc").select("doc", F.posexplode(terms("text", stem)).alias("pos", "term"))
         postings = at.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
         return Index(postings, listed.select("doc", F.size("terms").cast("bigint").alias("length")), stem, listed)
 
@@ -71,6 +75,20 @@ class Index:
         self.save(at)
         return Index.load(spark, at, self.stem)
 
+    def changed(self, path: str, keys: DataFrame, rows: DataFrame | None, key: str, *texts: str) -> Index:
+        """Without the documents of the keys and with the rows.  Only the change is written; all is written anew, without what
+        has left, once the changed documents come to half of what was written whole, or with the 16th change."""
+        spark, at = self.docs.sparkSession, f"{path}/{uuid.uuid4().hex}"
+        keys.toDF("doc").distinct().write.parquet(f"{at}/gone")
+        gone = spark.read.parquet(f"{at}/gone")
+        out = self.without(gone)
+        if rows is not None:
+            new = Index.build(rows, key, *texts, stem=self.stem).kept(path)
+            out = Index(out.postings.unionByName(new.postings), out.docs.unionByName(new.docs), self.stem)
+        whole, changes = self.whole or self.docs.count(), self.changes + 1
+        out.whole, out.changes, out.moved = whole, changes, self.moved + gone.count()
+        return out.kept(path) if changes >= 16 or out.moved * 2 > whole else out
+
     def _query_terms(self, query: str) -> list[str]:
         words = [w for w in re.split(r"[^\w]+", query.lower()) if len(w) >= 2 and w not in (*STOP_WORDS, "and", "or", "not")]
         if self.stem:

@@ -11,6 +11,7 @@ from lodestar.operators import joins, relational
 from lodestar.operators.fulltext import Index
 from lodestar.plans.catalogue import QUERIES, SQL
 from lodestar.plans.dialect import rewrite, run_script, run_sql, split_statements
+from lodestar.plans.engine import Engine
 from lodestar.sources import delimited
 from lodestar.sources.tables import ConstraintError, Database, Foreign, View
 
@@ -97,6 +98,20 @@ def test_minmax_by_takes_the_first_of_equal_prices(spark, tmp_path):
     assert got == set(duckdb.sql(SQL["agg_minmax_by"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")).fetchall()) == {(7, 1, 1), (8, 4, 5), (9, None, None)}
 
 
+def test_text_index_writes_only_what_changes(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    engine.sql("CREATE TABLE texts (id BIGINT PRIMARY KEY, body TEXT)")
+    engine.db.insert("texts", spark.range(20).select("id", F.concat(F.lit("word number w"), "id").alias("body")))
+    engine.run("CREATE FTS INDEX words ON texts (body) TOKENIZER simple; UPDATE texts SET body = 'other' WHERE id = 3; DELETE FROM texts WHERE id = 4")
+    found = lambda word: sorted(r[0] for r in engine.sql(f"SELECT id FROM texts WHERE texts MATCH '{word}'").collect())
+    stored = lambda: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").schema("term string").parquet(f"{tmp_path}/_fts").where("term IS NOT NULL").count()
+    assert stored() == 61
+    assert found("other") == [3] and found("number") == [i for i in range(20) if i not in (3, 4)]
+    engine.run("DELETE FROM texts WHERE id > 9; INSERT INTO texts (id, body) VALUES (4, 'word again')")  # half has changed
+    assert found("word") == [0, 1, 2, 4, 5, 6, 7, 8, 9] and found("again") == [4]
+    assert engine.searches["words"]["index"].changes < 2
+
+
 def test_fixpoint_ends_on_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "a int, b int")
     to = edges.select(F.col("a").alias("m"), F.col("b").alias("c"))
