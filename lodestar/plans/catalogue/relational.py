@@ -267,7 +267,9 @@ same("agg_stats_small", "SELECT o_orderkey, stddev_samp(o_totalprice) AS sd, var
 
 @query("agg_percentile", "SELECT l_linestatus, quantile_cont(l_extendedprice, 0.25) AS p25, quantile_cont(l_extendedprice, 0.9) AS p90, mode() WITHIN GROUP (ORDER BY l_linenumber)::BIGINT AS common FROM lineitem GROUP BY l_linestatus")
 def agg_percentile(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_linestatus").agg(F.percentile("l_extendedprice", F.lit(0.25)).alias("p25"), F.percentile("l_extendedprice", F.lit(0.9)).alias("p90"), F.mode("l_linenumber").cast(B).alias("common"))
+    common = t.lineitem.groupBy(F.col("l_linestatus").alias("status")).agg(F.mode("l_linenumber").cast(B).alias("common"))
+    values = relational.percentiles(t.lineitem, ["l_linestatus"], "l_extendedprice", p25=0.25, p90=0.9)
+    return values.join(common, F.col("l_linestatus").eqNullSafe(F.col("status"))).drop("status")
 
 
 @query("agg_minmax_by", "SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS dearest, min_by(o_orderkey, o_totalprice) AS cheapest FROM orders GROUP BY o_custkey")

@@ -112,6 +112,16 @@ def test_text_index_writes_only_what_changes(spark, tmp_path):
     assert engine.searches["words"]["index"].changes < 2
 
 
+def test_percentiles_gather_no_group(spark):
+    assert "percentile(" not in _plan(QUERIES["agg_percentile"](spark, SF))
+    rows = [("a", float(i % 7) ** 3) for i in range(50)] + [("b", 4.0)] * 3 + [("c", None), (None, 1.0), (None, 2.0), ("d", float("inf")), ("d", 1.0), ("d", 3.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = relational.percentiles(df, ["g"], "v", lo=0.0, q=0.3, mid=0.5)
+    want = df.groupBy("g").agg(*(F.percentile("v", F.lit(p)).alias(n) for n, p in (("lo", 0.0), ("q", 0.3), ("mid", 0.5))))
+    plain = lambda x: {r[0]: [y if y is None else round(y, 9) for y in r[1:]] for r in x.collect()}
+    assert plain(got) == plain(want)
+
+
 def test_fixpoint_ends_on_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "a int, b int")
     to = edges.select(F.col("a").alias("m"), F.col("b").alias("c"))
